@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     "aftershock.plans.recovery",
+    "aftershock.plans.returns",
 ]
 
 
