@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "aftershock.plans.recovery",
     "aftershock.plans.returns",
+    "aftershock.plans.reshape",
 ]
 
 
