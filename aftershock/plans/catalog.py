@@ -8,6 +8,8 @@ _MODULES = [
     "aftershock.plans.recovery",
     "aftershock.plans.returns",
     "aftershock.plans.reshape",
+    "aftershock.plans.columns",
+    "aftershock.plans.events",
 ]
 
 
