@@ -10,6 +10,9 @@ _MODULES = [
     "aftershock.plans.reshape",
     "aftershock.plans.columns",
     "aftershock.plans.events",
+    "aftershock.plans.profiles",
+    "aftershock.plans.rows",
+    "aftershock.plans.scalars",
 ]
 
 
