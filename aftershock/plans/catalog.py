@@ -13,6 +13,7 @@ _MODULES = [
     "aftershock.plans.profiles",
     "aftershock.plans.rows",
     "aftershock.plans.scalars",
+    "aftershock.plans.modelling",
 ]
 
 
