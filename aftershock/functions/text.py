@@ -64,12 +64,12 @@ def _word_alt(words: list[str]) -> str:
 
 
 def normalize_company_name(c) -> Column:
-    """Upper, '&' -> AND, punctuation -> blank, leading THE and
-    legal-form words removed (whole words), blanks collapsed; null -> ''."""
-    s = F.upper(F.coalesce(_c(c).cast("string"), F.lit("")))
+    """Trim + upper, '&' -> AND, punctuation -> blank, the word THE and
+    then the legal-form words removed (whole words), blanks collapsed last;
+    null -> ''.  The order of the steps matters."""
+    s = F.upper(F.trim(F.coalesce(_c(c).cast("string"), F.lit(""))))
     s = F.regexp_replace(s, "&", " AND ")
     s = F.regexp_replace(s, "[" + re.escape("".join(NAME_PUNCTUATION)) + "]", " ")
-    s = F.regexp_replace(s, r"\s+", " ")
     s = F.regexp_replace(s, rf"\b(?:{_word_alt(NAME_LEADING_WORDS)})\b", " ")
     s = F.regexp_replace(s, rf"\b(?:{_word_alt(NAME_LEGAL_WORDS)})\b", " ")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
@@ -78,10 +78,9 @@ def normalize_company_name(c) -> Column:
 def name_normalizer_sql(col: str) -> str:
     """The same normaliser as a DuckDB/ANSI expression (oracle side)."""
     punct = re.escape("".join(NAME_PUNCTUATION)).replace("'", "''")
-    s = f"upper(coalesce(CAST({col} AS VARCHAR), ''))"
+    s = f"upper(trim(coalesce(CAST({col} AS VARCHAR), '')))"
     s = f"regexp_replace({s}, '&', ' AND ', 'g')"
     s = f"regexp_replace({s}, '[{punct}]', ' ', 'g')"
-    s = f"regexp_replace({s}, '\\s+', ' ', 'g')"
     s = f"regexp_replace({s}, '\\b(?:{_word_alt(NAME_LEADING_WORDS)})\\b', ' ', 'g')"
     s = f"regexp_replace({s}, '\\b(?:{_word_alt(NAME_LEGAL_WORDS)})\\b', ' ', 'g')"
     return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"

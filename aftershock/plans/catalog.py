@@ -14,6 +14,7 @@ _MODULES = [
     "aftershock.plans.rows",
     "aftershock.plans.scalars",
     "aftershock.plans.modelling",
+    "aftershock.plans.entity",
 ]
 
 
