@@ -15,6 +15,7 @@ _MODULES = [
     "aftershock.plans.scalars",
     "aftershock.plans.modelling",
     "aftershock.plans.entity",
+    "aftershock.plans.facts",
 ]
 
 
