@@ -16,6 +16,7 @@ _MODULES = [
     "aftershock.plans.modelling",
     "aftershock.plans.entity",
     "aftershock.plans.facts",
+    "aftershock.plans.learn",
 ]
 
 
