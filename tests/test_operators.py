@@ -313,3 +313,34 @@ def test_bundled_csvs(spark):
     gdp = read_macro(spark, f"{REF_DATA}/GDPCA.csv", "gdpca")
     inf = read_macro(spark, f"{REF_DATA}/inflation.csv", "inflation")
     assert gdp.agg(F.max("year")).first()[0] == 2025 and inf.agg(F.max("year")).first()[0] == 2024
+
+
+def test_sector_pipeline(spark):
+    from aftershock.plans.sectors import (attach_to_firms, classify_firms, panel_to_wide, position_panel,
+                                          sector_coverage, sector_lookup, sector_panel)
+    sectors = spark.createDataFrame([("2", "Mining", "ADB "), ("2", "Mining", "adb"), ("16", "Other mfg", "adb"),
+                                     ("3", "Food", "wiod")], "sect string, sect_name string, source string")
+    pos = spark.createDataFrame([("usa", 2, 2014, 2.5, "adb"), ("USA", 2, 2015, 2.4, "ADB"), ("USA", 16, 2014, 1.5, "adb"),
+                                 ("USA", None, 2014, 1.7, "adb"), ("USA", 2, 2013, 9.9, "adb"), ("CHN", 2, 2014, 9.9, "adb")],
+                                "country string, sect int, year int, upstreamness double, source string")
+    firms = spark.createDataFrame([
+        ("Devon Energy", "US", None, "DVN"), ("Cheese Co", "US", "111", "CHZ"), ("Widgets", "US", "3312", "WID"),
+        ("Foreign", "DE", "0610", "FOR"), ("Plain", "US", "text", "PLN")],
+        "company_name string, country_iso string, nace string, ticker string")
+    lk = sector_lookup(sectors)
+    assert lk.count() == 2
+    cls = {r.ticker: r for r in classify_firms(firms, lk).collect()}
+    assert cls["DVN"].adb_sector_code == 2 and cls["DVN"].adb_sector_name == "Mining"   # name rule fill
+    assert cls["CHZ"].nace_code_4d == "0111" and cls["CHZ"].adb_sector_code == 1
+    assert cls["WID"].adb_sector_code == 16 and "FOR" not in cls
+    assert cls["PLN"].adb_sector_code is None
+    panel = sector_panel(classify_firms(firms, lk), position_panel(pos, lk))
+    got = sorted((r.ticker, r.year) for r in panel.where(F.col("ticker") == "DVN").collect())
+    assert got == [("DVN", 2014), ("DVN", 2015)]
+    cov = sector_coverage(panel).first()
+    assert cov.unique_companies == 4 and cov.incomplete_companies == 4
+    wide = panel_to_wide(panel, [2014, 2015])
+    assert wide.columns[-4:] == ["upstream(2014)", "downstream(2014)", "upstream(2015)", "downstream(2015)"]
+    j = {r.ticker: r for r in attach_to_firms(firms.select("ticker", "company_name"), wide).collect()}
+    assert j["WID"]["upstream(2014)"] == 1.5 and j["WID"]["upstream(2015)"] is None
+    assert j["DVN"]["upstream(2015)"] is None   # null NACE key: the pivot drops the firm (T11)
