@@ -344,3 +344,19 @@ def test_sector_pipeline(spark):
     j = {r.ticker: r for r in attach_to_firms(firms.select("ticker", "company_name"), wide).collect()}
     assert j["WID"]["upstream(2014)"] == 1.5 and j["WID"]["upstream(2015)"] is None
     assert j["DVN"]["upstream(2015)"] is None   # null NACE key: the pivot drops the firm (T11)
+
+
+def test_shapley_constant_feature_gets_zero(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+    from aftershock.operators.attribution import shapley_importance
+    rnd = random.Random(11)
+    rows = []
+    for i in range(120):
+        a = rnd.random()
+        rows.append((i, Vectors.dense([a, 1.0, rnd.random()]), int(a + 0.2 * rnd.random() > 0.6)))
+    df = spark.createDataFrame(rows, ["id", "features", "y"])
+    m = LogisticRegression(featuresCol="features", labelCol="y").fit(df)
+    got = {r.feature: r.mean_abs_shap for r in shapley_importance(m, df, "features", "id", ["a", "const", "noise"],
+                                                                    nsim=10).collect()}
+    assert got["const"] == 0.0 and got["a"] > got["noise"]
