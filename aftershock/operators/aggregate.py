@@ -18,7 +18,7 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None, digits: int =
         F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("null_count")) for i, c in enumerate(cols)
     ])).alias("_s"))
     return stacked.select(F.col("_s.column").alias("column"), F.col("_s.null_count").alias("null_count"),
-                          F.round(F.col("_s.null_count") * 100.0 / F.col("_rows"), digits).alias("null_pct"))
+                          F.round(F.try_divide(F.col("_s.null_count") * 100.0, F.col("_rows")), digits).alias("null_pct"))
 
 
 def describe(df: DataFrame, col: str, digits: int = 6) -> DataFrame:

@@ -1,7 +1,8 @@
 """Driver tables standing in for the domain inputs.
 
 * long prices  = lineitem per (ticker=l_suppkey, date=ship date),
-                 close = avg(l_extendedprice) rounded to 6 places;
+                 close = mean(l_extendedprice) rounded to 6 places (exact
+                 decimal sum, so independent of summation order);
 * storms       = the 3 largest orders (o_totalprice) of each order year,
                  event_name = order key as text, shock date = order date;
 * firms        = suppliers, their nation as "state", region as region;
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from aftershock.functions.numeric import exact_mean, exact_mean_sql
 from aftershock.sources.tables import table
 
 START = "1995-01-01"
@@ -32,11 +34,11 @@ def long_prices(spark: SparkSession, sf_dir: str, start: str = START) -> DataFra
     li = table(spark, sf_dir, "lineitem")
     return (li.where(F.col("l_shipdate") >= _ts(start))
             .groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"))
-            .agg(F.round(F.avg("l_extendedprice"), 6).alias("close")))
+            .agg(F.round(exact_mean("l_extendedprice"), 6).alias("close")))
 
 
 LONG_PRICES_SQL = f"""
-SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, round(avg(l_extendedprice), 6) AS close
+SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, round({exact_mean_sql("l_extendedprice")}, 6) AS close
 FROM lineitem WHERE l_shipdate >= TIMESTAMP '{START}' GROUP BY 1, 2"""
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from aftershock.functions.numeric import exact_mean, exact_mean_sql, pct_change_expr
 from aftershock.operators.joins import membership_flag, substring_or_equal_join, window_join
 from aftershock.operators.series import ffill_series, pct_change
 from aftershock.plans import proxies
@@ -54,7 +55,7 @@ def top_k_damage(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- D11
 def _market(spark, sf_dir) -> DataFrame:
     """Market average close per day (nulls skipped)."""
-    return proxies.long_prices(spark, sf_dir).groupBy("date").agg(F.avg("close").alias("market_close"))
+    return proxies.long_prices(spark, sf_dir).groupBy("date").agg(exact_mean("close").alias("market_close"))
 
 
 def market_return_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def storm_vs_normal_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _slice_returns(df: DataFrame, part: list[str], close: str, out: str) -> DataFrame:
     # returns inside one event window (<= 31 rows): first day of the slice is null
     w = W.partitionBy(*part).orderBy("date")
-    return df.withColumn(out, F.col(close) / F.lag(close).over(w) - 1)
+    return df.withColumn(out, pct_change_expr(F.col(close), F.lag(close).over(w)))
 
 
 def event_window_market(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,7 @@ def event_window_local(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("date", F.date_add("shock_date", "offset_days"))
     j = days.join(prices, ["ticker", "date"])
     local = j.groupBy("event_name", "shock_date", "date", "offset_days").agg(
-        F.avg("close").alias("local_close"), F.countDistinct("ticker").alias("n_firms"))
+        exact_mean("close").alias("local_close"), F.countDistinct("ticker").alias("n_firms"))
     local = _slice_returns(local, ["event_name"], "local_close", "local_ret")
     return local.select("event_name", "shock_date", "date", F.col("offset_days").cast("int").alias("offset_days"),
                         _r6("local_close").alias("local_close"), _r6("local_ret").alias("local_ret"), "n_firms")
@@ -148,7 +149,7 @@ def sector_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the slice holds at most ~90 rows per ticker, so a per-ticker window is bounded
     w = W.partitionBy("ticker").orderBy("date")
     p = p.withColumn("close_ffill", F.last("close", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    p = p.withColumn("ret", F.col("close_ffill") / F.lag("close_ffill").over(w) - 1)
+    p = p.withColumn("ret", pct_change_expr(F.col("close_ffill"), F.lag("close_ffill").over(w)))
     per_ticker = p.groupBy("ticker").agg(F.avg("ret").alias("mean_ret"))
     firms = _firms(spark, sf_dir)
     reg = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"),
@@ -172,7 +173,7 @@ QUERIES = {
     "sector_impact": sector_impact,
 }
 
-_MARKET = f"""market AS (SELECT date, avg(close) AS market_close FROM ({proxies.LONG_PRICES_SQL}) p GROUP BY date),
+_MARKET = f"""market AS (SELECT date, {exact_mean_sql("close")} AS market_close FROM ({proxies.LONG_PRICES_SQL}) p GROUP BY date),
 mret AS (SELECT date, market_close, market_close / lag(market_close) OVER (ORDER BY date) - 1 AS market_ret
          FROM market)"""
 
@@ -218,7 +219,7 @@ pairs AS (SELECT DISTINCT p.event_name, p.shock_date, f.ticker FROM places p JOI
           ON contains(p.location, f.firm_region) OR f.firm_region = p.country),
 prices AS ({proxies.LONG_PRICES_SQL}),
 j AS (SELECT p.event_name, p.shock_date, x.date, CAST(x.date - p.shock_date AS INTEGER) AS offset_days,
-             avg(x.close) AS local_close, count(DISTINCT x.ticker) AS n_firms
+             {exact_mean_sql("x.close")} AS local_close, count(DISTINCT x.ticker) AS n_firms
       FROM pairs p JOIN prices x ON x.ticker = p.ticker
        AND x.date BETWEEN p.shock_date - INTERVAL 15 DAY AND p.shock_date + INTERVAL 15 DAY
       GROUP BY 1, 2, 3, 4)
