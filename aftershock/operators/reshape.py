@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def q(c: str):
+    """Column by exact name (names may hold dots, blanks, newlines)."""
+    return F.col(f"`{c}`")
+
+
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = None,
          var: str = "variable", val: str = "value") -> DataFrame:
     """Wide -> long; null values are kept."""
     values = list(values) if values is not None else [c for c in df.columns if c not in ids]
-    return df.unpivot(list(ids), values, var, val)
+    return df.unpivot([q(c) for c in ids], [q(c) for c in values], var, val)
 
 
 def melt_pattern(df: DataFrame, ids: Sequence[str], pattern: str, names: Sequence[str],
@@ -27,7 +32,7 @@ def melt_pattern(df: DataFrame, ids: Sequence[str], pattern: str, names: Sequenc
         e = F.regexp_extract(F.col("_name"), pattern, i)
         e = F.when(e == "", F.lit(None)).otherwise(e)
         parts[n] = e.cast(casts[n]) if casts and n in casts else e
-    return long.withColumns(parts).select(*ids, *names, val)
+    return long.withColumns(parts).select(*[q(c) for c in ids], *names, val)
 
 
 def columns_matching(df: DataFrame, prefix: str, exclude_prefix: str | None = None) -> list[str]:
@@ -40,17 +45,18 @@ def columns_matching(df: DataFrame, prefix: str, exclude_prefix: str | None = No
 
 def pivot_first(df: DataFrame, keys: Sequence[str], pivot_col: str, pivot_values: Sequence,
                 value_cols: Sequence[str], name: str = "{value}_{pivot}",
-                order: str = "pivot_major") -> DataFrame:
+                order: str = "pivot_major", drop_null_keys: bool = True) -> DataFrame:
     """Long -> wide with ``first(ignorenulls)`` per cell.
 
-    Rows whose key or pivot value is null vanish (T11), so callers filter
-    them explicitly first.  ``order``: 'pivot_major' interleaves the value
+    Rows whose pivot value is null are dropped; rows with a null key vanish
+    too unless ``drop_null_keys=False`` (pandas vs tidyr semantics, T11).  ``order``: 'pivot_major' interleaves the value
     columns per pivot value (R7), 'value_major' groups by value column (R8);
     the pivot value list is explicit, so its order (asc/desc) is the caller's.
     """
     d = df.where(F.col(pivot_col).isNotNull())
-    for k in keys:
-        d = d.where(F.col(k).isNotNull())
+    if drop_null_keys:  # pandas pivot semantics (T11); tidyr keeps NA ids
+        for k in keys:
+            d = d.where(F.col(k).isNotNull())
     aggs = [F.first(F.col(v), ignorenulls=True).alias(v) for v in value_cols]
     wide = d.groupBy(*keys).pivot(pivot_col, list(pivot_values)).agg(*aggs)
     single = len(value_cols) == 1
@@ -71,14 +77,14 @@ def separate_rows(df: DataFrame, col: str, sep: str = r",\s*", pos: str = "pos",
     """One row per item of a delimited string, with its 0-based position;
     a null string stays as one row with null item and position."""
     out = out or col
-    rest = [c for c in df.columns if c != col]
-    return df.select(*rest, F.posexplode_outer(F.split(F.col(col), sep)).alias(pos, out))
+    rest = [q(c) for c in df.columns if c != col]
+    return df.select(*rest, F.posexplode_outer(F.split(q(col), sep)).alias(pos, out))
 
 
 def unnest_parallel(df: DataFrame, cols: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     """Explode several list columns in lock step (``arrays_zip``); rows
     whose lists are null or empty are dropped."""
     names = list(names or cols)
-    rest = [c for c in df.columns if c not in cols]
-    z = F.explode(F.arrays_zip(*[F.col(c).alias(n) for c, n in zip(cols, names)])).alias("_z")
+    rest = [q(c) for c in df.columns if c not in cols]
+    z = F.explode(F.arrays_zip(*[q(c).alias(n) for c, n in zip(cols, names)])).alias("_z")
     return df.select(*rest, z).select(*rest, *[F.col("_z")[n].alias(n) for n in names])

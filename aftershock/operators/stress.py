@@ -68,3 +68,19 @@ def sample_groups(df: DataFrame, group: str, n: int, order: Sequence[str] | None
     keys = df.select(group).where(F.col(group).isNotNull()).distinct()
     chosen = keys.orderBy(*(order or [group])).limit(n)
     return df.join(F.broadcast(chosen), group, "left_semi")
+
+
+def category_ordinal(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Category -> 1-based ordinal in alphabetical order (R's
+    ``as.numeric(as.factor(x))``); null stays null.  The distinct levels are
+    a small table (one row per category), numbered and broadcast back."""
+    from pyspark.sql.window import Window as W
+    levels = df.select(col).where(F.col(col).isNotNull()).distinct()
+    levels = levels.withColumn(out, F.dense_rank().over(W.orderBy(col)).cast("double"))
+    return df.join(F.broadcast(levels), col, "left")
+
+
+def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """L4: a seeded sample of ``n`` rows: the n smallest ``xxhash64(key, seed)``
+    (a top-n; reproducible under any partitioning)."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)

@@ -360,3 +360,51 @@ def test_shapley_constant_feature_gets_zero(spark):
     got = {r.feature: r.mean_abs_shap for r in shapley_importance(m, df, "features", "id", ["a", "const", "noise"],
                                                                     nsim=10).collect()}
     assert got["const"] == 0.0 and got["a"] > got["noise"]
+
+
+def test_domain_firm_pipeline(spark):
+    from aftershock.plans.firms import firm_disaster, firm_metrics_long, predictors
+    from pyspark.sql import types as T
+    cols = ["ticker", "company_name", "BRANCH - State or province (in US or Canada)", "assets_2019",
+            "assets_current_2019", "revenue_2019", "Number of employees\nLast avail. yr 2019",
+            "upstream(2019)", "downstream(2019)", "liabilities_2019"]
+    schema = T.StructType([T.StructField(c, T.StringType() if i < 3 or i in (5, 6) else T.DoubleType())
+                           for i, c in enumerate(cols)])
+    sheet = spark.createDataFrame([("AAA", "Alpha", "TX, OH, ZZ", 10.0, 4.0, "1,200", "35", 2.1, 1.1, 9.0),
+                                   ("BBB", "Beta", "TX", 20.0, 5.0, "bad", None, 1.5, 1.4, 9.0)], schema)
+    lng = firm_metrics_long(sheet)
+    got = {(r.ticker, r.States, r.metric): r.value for r in lng.collect()}
+    assert got[("AAA", "Texas", "revenue")] == 1200.0 and got[("BBB", "Texas", "revenue")] is None
+    assert got[("AAA", "Ohio", "Number of employees")] == 35.0
+    assert ("AAA", "Texas", "assets_current") in got and not any(k[2] == "liabilities" for k in got)
+    assert not any(k[1] is None for k in got)   # unknown abbreviation ZZ dropped
+    ev = spark.createDataFrame([("Storm A", "2019-08-25", "2019/8/30", "Ohio, Texas", 5.0),
+                                ("Storm B", "2019-09-01", "2019-09-01", "Maine", 1.0),
+                                ("Old", "2010-01-01", "2010-01-02", "Texas", 1.0)],
+                               "event_name string, start_date string, end_date string, affected_states string, total_damage_adjusted double")
+    fd = firm_disaster(ev, lng, ["assets", "assets_current", "revenue", "Number of employees"])
+    rows = {(r.ticker, r.event_name): r for r in fd.collect()}
+    assert rows[("AAA", "Storm A")].affected_states == "Ohio"      # first state position wins (T13)
+    assert rows[("BBB", "Storm A")].revenue is None and rows[("AAA", "Storm A")].upstream == 2.1
+    assert (None, "Storm B") in rows and not any(k[1] == "Old" for k in rows)
+    rec = spark.createDataFrame([("Storm A", "AAA", None, 10.0, 3, 1, 1)],
+                                "event_name string, ticker string, pre_shock_date date, pre_shock_price double, "
+                                "recovery_days int, benchmark_available int, recovered_by_end int")
+    gdp = spark.createDataFrame([(2019, 1.0)], "year int, gdpca double")
+    inf = spark.createDataFrame([(2019, 2.0)], "year int, inflation double")
+    pr = {(r.ticker, r.event_name): r for r in predictors(fd, rec, gdp, inf).collect()}
+    a = pr[("AAA", "Storm A")]
+    assert a.duration == 5 and a.rec_7d == 1 and a.rec_1d == 0 and a.region == "Midwest" and a.gdpca == 1.0
+    assert ("BBB", "Storm A") in pr and pr[("BBB", "Storm A")].region == "South"
+    assert not any(k[0] is None for k in pr)
+
+
+def test_category_ordinal_and_sample_rows(spark):
+    from aftershock.operators.stress import category_ordinal, sample_rows
+    df = spark.createDataFrame([(1, "West"), (2, "Midwest"), (3, None), (4, "West")], "id int, region string")
+    got = {r.id: r.o for r in category_ordinal(df, "region", "o").collect()}
+    assert got == {1: 2.0, 2: 1.0, 3: None, 4: 2.0}
+    big = spark.createDataFrame([(i,) for i in range(100)], "id int")
+    a = [r.id for r in sample_rows(big, 10, 4101, "id").collect()]
+    b = [r.id for r in sample_rows(big.repartition(7), 10, 4101, "id").collect()]
+    assert len(a) == 10 and a == b
