@@ -73,11 +73,13 @@ def sample_groups(df: DataFrame, group: str, n: int, order: Sequence[str] | None
 def category_ordinal(df: DataFrame, col: str, out: str) -> DataFrame:
     """Category -> 1-based ordinal in alphabetical order (R's
     ``as.numeric(as.factor(x))``); null stays null.  The distinct levels are
-    a small table (one row per category), numbered and broadcast back."""
-    from pyspark.sql.window import Window as W
+    numbered with a distributed ordinal and joined back (broadcast only when
+    their count is checked small)."""
+    from aftershock.operators.joins import broadcast_if_small
+    from aftershock.operators.ranking import ordinal
     levels = df.select(col).where(F.col(col).isNotNull()).distinct()
-    levels = levels.withColumn(out, F.dense_rank().over(W.orderBy(col)).cast("double"))
-    return df.join(F.broadcast(levels), col, "left")
+    levels = ordinal(levels, [col], out).withColumn(out, F.col(out).cast("double"))
+    return df.join(broadcast_if_small(levels), col, "left")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:

@@ -4,8 +4,8 @@ directory = parts with key % 3 = 0: ``upper(name type) CORP``, ticker =
 lower-case brand, cik = part key; firms = the other parts: ``name type Inc.``
 (key % 3 = 1, exact after normalising when the combination is listed) or
 ``name typ`` with the last letter of the type cut (key % 3 = 2, fuzzy);
-overrides = suppliers naming existing firms (key % 7 = 0) or new names
-(key % 7 = 1), each twice: the later (higher position) wins.
+overrides = every supplier, naming an existing firm (even key) or a new
+name (odd key), each twice: the later (higher position) wins.
 """
 
 from __future__ import annotations
@@ -40,10 +40,10 @@ def _firms(spark, sf_dir) -> DataFrame:
 
 
 def _overrides(spark, sf_dir) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 7 <= 1)
+    s = table(spark, sf_dir, "supplier")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     j = s.join(p, p.p_partkey == s.s_suppkey * 3 + 1, "left")
-    name = F.when((F.col("s_suppkey") % 7 == 0) & F.col("p_partkey").isNotNull(), _firm_name_col()) \
+    name = F.when((F.col("s_suppkey") % 2 == 0) & F.col("p_partkey").isNotNull(), _firm_name_col()) \
         .otherwise(F.col("s_name"))
     first = j.select(name.alias("orbis_company_name"),
                      F.concat(F.lit(" brand#"), ((F.col("s_suppkey") % 25) + 1).cast("string")).alias("ticker"),
@@ -105,9 +105,9 @@ fuzzy AS (SELECT r.orbis_company_name, r.normalized_orbis_name, d.sec_company_na
 mapping AS (SELECT * FROM exact UNION ALL SELECT * FROM fuzzy)"""
 
 _OVERRIDE = f"""
-ov0 AS (SELECT CASE WHEN s.s_suppkey % 7 = 0 AND p.p_partkey IS NOT NULL THEN {_FIRM_NAME_SQL} ELSE s.s_name END
+ov0 AS (SELECT CASE WHEN s.s_suppkey % 2 = 0 AND p.p_partkey IS NOT NULL THEN {_FIRM_NAME_SQL} ELSE s.s_name END
                  AS orbis_company_name, s.s_suppkey FROM supplier s
-        LEFT JOIN part p ON p.p_partkey = s.s_suppkey * 3 + 1 WHERE s.s_suppkey % 7 <= 1),
+        LEFT JOIN part p ON p.p_partkey = s.s_suppkey * 3 + 1),
 ov AS (SELECT orbis_company_name, upper(trim(' brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR))) AS t,
               CAST(s_suppkey AS VARCHAR) AS c, s_suppkey AS pos FROM ov0
        UNION ALL

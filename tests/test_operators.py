@@ -418,3 +418,24 @@ def test_exact_quantiles_match_numpy(spark):
     got = exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 1.0])
     want = np.quantile([v for v in vals if v is not None], [0.0, 0.25, 0.5, 0.75, 1.0])
     assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
+def test_directory_layouts_and_csv_io(spark, tmp_path):
+    from aftershock.sources.csv import read_csv, read_optional
+    from aftershock.sources.json_facts import directory_rows
+    from aftershock.sources.sinks import write_csv
+    fields = spark.createDataFrame([(["cik", "name", "ticker"], [["320193", "Apple Inc.", "AAPL"], ["1", "X", "x"]])],
+                                   "fields array<string>, data array<array<string>>")
+    got = sorted(tuple(r) for r in directory_rows(fields).collect())
+    assert got == [("1", "X", "x"), ("320193", "Apple Inc.", "AAPL")]
+    recs = spark.createDataFrame([(320193, "Apple Inc.", "AAPL")], "cik long, name string, ticker string")
+    assert directory_rows(recs).first()["cik"] == "320193"
+    df = spark.createDataFrame([(1, None), (2, "b")], "a int, b string")
+    out = str(tmp_path / "out_csv")
+    write_csv(df, out, na_text="NA")
+    back = read_csv(spark, out, "a int, b string", na_text="NA")
+    assert sorted(tuple(r) for r in back.collect()) == [(1, None), (2, "b")]
+    from pyspark.sql import types as T
+    empty = read_optional(spark, str(tmp_path / "absent.csv"),
+                          T.StructType([T.StructField("orbis_company_name", T.StringType())]))
+    assert empty.count() == 0
