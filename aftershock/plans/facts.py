@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aftershock.functions.constants import ANNUAL_FORMS, FILING_TAGS, FILING_YEARS
-from aftershock.operators.facts import annual_panel, annual_series
+from aftershock.operators.facts import annual_panel, annual_series, coverage
 from aftershock.sources.json_facts import parse_company_facts
 from aftershock.sources.tables import table
 
@@ -70,9 +70,16 @@ def facts_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annual_panel(_series(spark, sf_dir), VARIABLES)
 
 
+def facts_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 on the annual series: per variable, non-null observations, filers
+    with any data and their share of all filers in the series."""
+    return coverage(_series(spark, sf_dir))
+
+
 QUERIES = {
     "facts_provenance": facts_provenance,
     "facts_panel": facts_panel,
+    "facts_coverage": facts_coverage,
 }
 
 _TAGS_VALUES = ", ".join(f"('{v}', '{t}', {i})" for v, ts in FILING_TAGS.items() for i, t in enumerate(ts))
@@ -108,4 +115,11 @@ ORACLE = {
     "facts_panel": _PROV + "\nSELECT cik, fiscal_year, " + ", ".join(
         f"first(value) FILTER (WHERE variable_name = '{v}') AS {v}" for v in VARIABLES)
     + "\nFROM prov GROUP BY cik, fiscal_year",
+    "facts_coverage": _PROV + """,
+tot AS (SELECT count(DISTINCT cik) AS t FROM prov)
+SELECT variable_name AS variable, count(value) AS non_null_observations,
+       count(DISTINCT cik) FILTER (WHERE value IS NOT NULL) AS firms_with_any_data,
+       CASE WHEN max(tot.t) > 0 THEN round(count(DISTINCT cik) FILTER (WHERE value IS NOT NULL) / max(tot.t), 6)
+       END AS share_of_firms_with_any_data
+FROM prov, tot GROUP BY variable_name ORDER BY 3 DESC, 2 DESC""",
 }

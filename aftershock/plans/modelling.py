@@ -15,12 +15,13 @@ from aftershock.operators.ranking import ordinal
 from aftershock.operators.selection import aggregate_pvalues, rank_features
 from aftershock.operators.split import chrono_group_split as _chrono, stratified_split as _strat
 from aftershock.operators.stress import linear_score as _lin, sample_groups as _sample, tail_overwrite as _tail
-from aftershock.operators.stress import zscores
+from aftershock.operators.stress import category_ordinal, sample_rows as _sample_rows, zscores
 from aftershock.sources.tables import table
 
 # proxy variables of the stress score: damage <- spend, duration <- orders,
 # liquidity_ratio <- account balance; the other weighted variables are absent (z = 0)
-STRESS_PROXY = {"damage": "z_spend", "duration": "z_orders", "liquidity_ratio": "z_acctbal"}
+STRESS_PROXY = {"damage": "z_spend", "duration": "z_orders", "liquidity_ratio": "z_acctbal",
+                "region_ordinal": "z_segment_ord"}
 SAMPLE_GROUPS = 10
 N_SPLITS_PROXY = 10
 
@@ -56,7 +57,8 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _customer_features(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.sum("o_totalprice").alias("spend"), F.count(F.lit(1)).cast("double").alias("orders"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("acctbal"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("acctbal"), "c_mktsegment")
+    c = category_ordinal(c, "c_mktsegment", "segment_ord").drop("c_mktsegment")  # X22
     return c.join(o, "c_custkey", "left")
 
 
@@ -66,7 +68,7 @@ def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _linear(spark, sf_dir) -> DataFrame:
-    z = zscores(_customer_features(spark, sf_dir), ["acctbal", "spend", "orders"])
+    z = zscores(_customer_features(spark, sf_dir), ["acctbal", "spend", "orders", "segment_ord"])
     return _lin(z, STRESS_BASE, STRESS_WEIGHTS, STRESS_INTERACTIONS, STRESS_PROXY, STRESS_CLAMP)
 
 
@@ -86,6 +88,11 @@ def sample_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(o, "event_date", SAMPLE_GROUPS)
 
 
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4: a seeded sample of 10 orders (hash order, reproducible)."""
+    return _sample_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 10, SEED, "o_orderkey")
+
+
 def _split_pvalues(spark, sf_dir) -> DataFrame:
     """One p-value per (feature, split), as the multi-split procedure makes:
     feature = market segment, split = customer key mod 10, p = mean of
@@ -142,6 +149,7 @@ QUERIES = {
     "linear_score": linear_score,
     "tail_overwrite": tail_overwrite,
     "sample_groups": sample_groups,
+    "sample_rows": sample_rows,
     "pvalue_quantile": pvalue_quantile,
     "feature_compare": feature_compare,
 }
@@ -155,15 +163,17 @@ c AS (SELECT score, pos, neg,
              sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp FROM g),
 t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM g)"""
 
-_FEAT = """cf AS (SELECT c.c_custkey, c.c_acctbal AS acctbal, o.spend, o.orders FROM customer c LEFT JOIN
+_FEAT = """cf AS (SELECT c.c_custkey, c.c_acctbal AS acctbal, o.spend, o.orders,
+    CAST(dense_rank() OVER (ORDER BY c.c_mktsegment) AS DOUBLE) AS segment_ord FROM customer c LEFT JOIN
   (SELECT o_custkey, sum(o_totalprice) AS spend, CAST(count(*) AS DOUBLE) AS orders FROM orders GROUP BY 1) o
   ON o.o_custkey = c.c_custkey),
 st AS (SELECT avg(acctbal) ma, stddev_samp(acctbal) sa, avg(spend) ms, stddev_samp(spend) ss,
-              avg(orders) mo, stddev_samp(orders) so FROM cf),
+              avg(orders) mo, stddev_samp(orders) so, avg(segment_ord) mg, stddev_samp(segment_ord) sg FROM cf),
 z AS (SELECT c_custkey,
   coalesce(CASE WHEN sa > 0 THEN (acctbal - ma) / sa END, 0) AS z_acctbal,
   coalesce(CASE WHEN ss > 0 THEN (spend - ms) / ss END, 0) AS z_spend,
-  coalesce(CASE WHEN so > 0 THEN (orders - mo) / so END, 0) AS z_orders FROM cf, st)"""
+  coalesce(CASE WHEN so > 0 THEN (orders - mo) / so END, 0) AS z_orders,
+  coalesce(CASE WHEN sg > 0 THEN (segment_ord - mg) / sg END, 0) AS z_segment_ord FROM cf, st)"""
 
 
 def _lin_sql() -> str:
