@@ -439,3 +439,17 @@ def test_directory_layouts_and_csv_io(spark, tmp_path):
     empty = read_optional(spark, str(tmp_path / "absent.csv"),
                           T.StructType([T.StructField("orbis_company_name", T.StringType())]))
     assert empty.count() == 0
+
+
+def test_smote_neighbours_and_counts(spark):
+    from pyspark.ml.linalg import Vectors
+    from aftershock.operators.learn import smote
+    rnd = random.Random(2)
+    rows = [(i, Vectors.dense([rnd.random(), rnd.random()]), 0) for i in range(60)]
+    rows += [(100 + i, Vectors.dense([5 + (i % 5) * 0.1, 5 + (i // 5) * 0.1]), 1) for i in range(20)]
+    out = smote(spark.createDataFrame(rows, ["id", "features", "y"]), "features", "y", "id", k=3, seed=1)
+    syn = out.where(F.col("synthetic") == 1).collect()
+    assert len(syn) == 20 * ((60 - 20) // 20)
+    for r in syn:   # interpolated between minority rows: stays inside the minority square
+        x, y = r.features
+        assert 4.99 <= x <= 5.41 and 4.99 <= y <= 5.31 and r.y == 1
