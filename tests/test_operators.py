@@ -453,3 +453,13 @@ def test_smote_neighbours_and_counts(spark):
     for r in syn:   # interpolated between minority rows: stays inside the minority square
         x, y = r.features
         assert 4.99 <= x <= 5.41 and 4.99 <= y <= 5.31 and r.y == 1
+
+
+def test_yes_no_and_drop_report(spark):
+    from aftershock.operators.filters import drop_any_null_report
+    from aftershock.operators.flags import yes_no
+    df = spark.createDataFrame([(1, 1.0, 2.0), (0, None, 2.0), (None, None, None)], "y int, gdp double, infl double")
+    assert [r[0] for r in df.select(yes_no("y")).collect()] == ["yes", "no", None]
+    kept, report = drop_any_null_report(df, ["gdp", "infl"])
+    assert kept.count() == 1
+    assert {r.column: (r.null_rows, r.dropped_rows) for r in report.collect()} == {"gdp": (2, 2), "infl": (1, 2)}
