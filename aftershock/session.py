@@ -23,6 +23,12 @@ DEFAULT_CONF = {
     # partition; scan splits stay at 128 MB
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # model selection runs thousands of small jobs: keep the driver's status
+    # store bounded
+    "spark.sql.ui.retainedExecutions": "100",
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "200",
+    "spark.ui.retainedTasks": "10000",
 }
 
 
