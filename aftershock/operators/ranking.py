@@ -22,7 +22,9 @@ from aftershock.session import materialize
 def ordered_cumsum(df: DataFrame, order: Sequence[str], cols: Sequence[str], part: Sequence[str] = (),
                    prefix: str = "cum_", n_parts: int | None = None) -> DataFrame:
     """Inclusive running sums of ``cols`` in ascending ``order`` (within ``part``).
-    The order must be total for a deterministic result."""
+    The order must be total for a deterministic result.  ``part`` is meant
+    for low-cardinality splits (classes, projections): the offsets table has
+    one row per (range partition, part value) and is broadcast."""
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     part, order, cols = list(part), list(order), list(cols)

@@ -39,7 +39,7 @@ def _firm_branches(spark, sf_dir) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     n1 = n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("_a"))
     n2 = n.select(F.col("n_nationkey").alias("_k2"), F.col("n_name").alias("_b"))
-    wide = (s.join(F.broadcast(n1), "s_nationkey")
+    wide = (s.join(F.broadcast(n1), "s_nationkey")  # nation: 25-row dimension
             .join(F.broadcast(n2), F.col("_k2") == (F.col("s_nationkey") + 5) % 25)
             .select(F.col("s_suppkey").alias("ticker"), F.concat_ws(", ", "_a", "_b").alias("branches")))
     return separate_rows(wide, "branches", r",\s*", pos="_bpos", out="state").drop("_bpos")
@@ -84,7 +84,7 @@ def predictor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
          .withColumn("end_month", F.month("end_date"))
          .withColumn("duration", duration_days("shock_date", "end_date")))
     j = horizon_flags(j, "recovery_days", RECOVERY_HORIZONS)
-    j = j.join(F.broadcast(_macro(spark, sf_dir)), "disaster_year", "left")
+    j = j.join(F.broadcast(_macro(spark, sf_dir)), "disaster_year", "left")  # one row per year
     home = (table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ticker"), "s_nationkey")
             .join(F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"),
                                                                     "n_regionkey")), "s_nationkey", "left")

@@ -97,6 +97,7 @@ def _storm_places(spark, sf_dir) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     loc = n.select(F.col("n_nationkey").alias("c_nationkey"), F.lower("n_name").alias("location"))
     ctry = n.select(F.col("n_nationkey").alias("_ck"), F.lower("n_name").alias("country"))
+    # nation is a fixed 25-row dimension: broadcast lookups
     return (st.join(c, st.o_custkey == c.c_custkey, "left").join(F.broadcast(loc), "c_nationkey", "left")
             .join(F.broadcast(ctry), F.col("_ck") == F.col("o_orderkey") % 25, "left")
             .select("event_name", "shock_date", "location", "country"))
@@ -106,7 +107,7 @@ def _firms(spark, sf_dir) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ticker"), "s_nationkey")
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"),
                                               F.lower("n_name").alias("firm_region"), "n_regionkey")
-    return s.join(F.broadcast(n), "s_nationkey")
+    return s.join(F.broadcast(n), "s_nationkey")  # 25-row dimension
 
 
 def event_window_local(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +155,7 @@ def sector_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     firms = _firms(spark, sf_dir)
     reg = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"),
                                                 F.col("r_name").alias("sector"))
-    firms = firms.join(F.broadcast(reg), "n_regionkey")
+    firms = firms.join(F.broadcast(reg), "n_regionkey")  # 5-row dimension
     j = per_ticker.join(firms, "ticker")
     return (j.groupBy("sector").agg(_r6(F.avg("mean_ret")).alias("avg_return"),
                                     F.count(F.lit(1)).alias("n_firms"))
