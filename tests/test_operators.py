@@ -463,3 +463,20 @@ def test_yes_no_and_drop_report(spark):
     kept, report = drop_any_null_report(df, ["gdp", "infl"])
     assert kept.count() == 1
     assert {r.column: (r.null_rows, r.dropped_rows) for r in report.collect()} == {"gdp": (2, 2), "infl": (1, 2)}
+
+
+def test_multisplit_selects_the_signal(spark):
+    from pyspark.ml.linalg import Vectors
+    from aftershock.operators.learn import multisplit_selection, smote
+    rnd = random.Random(4)
+    rows = []
+    for i in range(300):
+        a, b = rnd.gauss(0, 1), rnd.gauss(0, 1)
+        rows.append((i, Vectors.dense([a, b]), int(a + 0.3 * rnd.gauss(0, 1) > 0.8)))
+    df = spark.createDataFrame(rows, ["id", "features", "y"])
+    out = multisplit_selection(df, "features", "y", "id", ["signal", "noise"], splits=2,
+                               lambdas=(0.05, 0.01), folds=3, seed=1,
+                               balance=lambda d: smote(d, "features", "y", "id", seed=1))
+    sel = {(f, s): sel for f, s, p, sel in out}
+    assert sel[("signal", 0)] == 1 and sel[("signal", 1)] == 1
+    assert all(0.0 <= p <= 1.0 for _, _, p, _ in out)
