@@ -69,10 +69,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     A reliable lineage cut: a lost executor re-reads the written files instead
-    of recomputing the whole upstream plan.
+    of recomputing the whole upstream plan.  Files live under
+    ``<spark.checkpoint.dir>/aftershock/<application id>/`` and can be removed
+    with that folder once the application has finished.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark)
-    path = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    # one folder per application: a finished job's intermediates go together
+    app = spark.sparkContext.applicationId
+    path = os.path.join(base, "aftershock", app, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
