@@ -189,7 +189,7 @@ def _lin_sql() -> str:
             f"FROM z)")
 
 
-_LEVELS = "[" + ", ".join(str(x) for x in QUANTILE_LEVELS) + "]"
+_LEVELS = "CAST([" + ", ".join(str(x) for x in QUANTILE_LEVELS) + "] AS DOUBLE[])"
 _PV = f"""sp AS (SELECT c_mktsegment AS feature, c_custkey % 10 AS split,
                    avg(greatest(0.0, least(1.0, c_acctbal / 10000))) AS p FROM customer GROUP BY 1, 2),
 qa AS (SELECT feature, quantile_cont(p, {_LEVELS}) AS q, count(p) AS n_values FROM sp GROUP BY 1),
