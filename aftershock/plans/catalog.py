@@ -17,6 +17,7 @@ _MODULES = [
     "aftershock.plans.entity",
     "aftershock.plans.facts",
     "aftershock.plans.learn",
+    "aftershock.plans.sectors",
 ]
 
 

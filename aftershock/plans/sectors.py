@@ -84,3 +84,92 @@ def attach_to_firms(firms: DataFrame, wide: DataFrame) -> DataFrame:
     """Left join by ticker, dropping the duplicate name column first;
     duplicate tickers fan out."""
     return firms.join(wide.drop("company_name"), "ticker", "left")
+
+
+# ---------------------------------------------------------------- driver-table query
+# Proxies: sector lookup = part key mod 35 + 1 ("SECTOR n"); position rows =
+# lineitem per (country, sector, ship year), upstreamness = 1 + 10 x mean
+# discount (country 'can' for supplier key mod 10 = 0, else 'usa ', so the
+# normalised country filter matters); firms = suppliers with a NACE text from
+# the supplier key (null / non-numeric for some), ISO 'ca' or ' us'.
+PROXY_YEARS = list(range(1996, 2001))
+
+
+def _proxy_inputs(spark, sf_dir):
+    from aftershock.functions.numeric import exact_mean
+    from aftershock.sources.tables import table
+    code = (F.col("p_partkey") % 35 + 1)
+    sectors = table(spark, sf_dir, "part").select(
+        code.cast("string").alias("sect"), F.concat(F.lit("SECTOR "), code.cast("string")).alias("sect_name"),
+        F.lit("adb").alias("source")).distinct()
+    li = table(spark, sf_dir, "lineitem")
+    position = li.groupBy(
+        F.when(F.col("l_suppkey") % 10 == 0, F.lit("can")).otherwise(F.lit("usa ")).alias("country"),
+        (F.col("l_partkey") % 35 + 1).cast("int").alias("sect"), F.year("l_shipdate").alias("year")
+    ).agg(F.round(F.lit(1.0) + exact_mean("l_discount") * 10, 6).alias("upstreamness")) \
+        .withColumn("source", F.lit("adb"))
+    k = F.col("s_suppkey")
+    firms = table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("company_name"),
+        F.when(F.col("s_nationkey") % 5 == 0, F.lit("ca")).otherwise(F.lit(" us")).alias("country_iso"),
+        F.when(k % 4 == 0, F.lit(None).cast("string")).when(k % 4 == 1, F.lit("text"))
+        .otherwise((k * 7919 % 9999).cast("string")).alias("nace"),
+        F.concat(F.lit("T"), k.cast("string")).alias("ticker"))
+    return sectors, position, firms
+
+
+def sector_panel_wide(spark, sf_dir: str) -> DataFrame:
+    """D1 -> D2 -> D3 end to end: classify firms, position panel, firm x
+    year panel (NULL-safe sector join), wide ``upstream(Y)/downstream(Y)``."""
+    sectors, position, firms = _proxy_inputs(spark, sf_dir)
+    lk = sector_lookup(sectors)
+    panel = sector_panel(classify_firms(firms, lk), position_panel(position, lk, (PROXY_YEARS[0], PROXY_YEARS[-1])))
+    return panel_to_wide(panel, PROXY_YEARS)
+
+
+QUERIES = {"sector_panel_wide": sector_panel_wide}
+
+
+def _oracle() -> str:
+    from aftershock.functions.numeric import exact_mean_sql
+    nace = ", ".join(f"('{c}', {v})" for c, v in sorted(nace_to_sector().items()))
+    whens = " ".join(f"WHEN code0 IS NULL AND regexp_matches(upper(company_name), '{'|'.join(pats)}') THEN {v}"
+                     for pats, v in SECTOR_NAME_RULES)
+    cells = ", ".join(f'max(upstream_value) FILTER (WHERE year = {y}) AS "upstream({y})", '
+                      f'max(downstream_value) FILTER (WHERE year = {y}) AS "downstream({y})"' for y in PROXY_YEARS)
+    keys = "company_name, ticker, nace_code_4d, nace_code_2d, adb_sector_code, adb_sector_name"
+    return f"""
+WITH sectors AS (SELECT DISTINCT CAST(p_partkey % 35 + 1 AS INTEGER) AS adb_sector_code,
+                        'SECTOR ' || CAST(p_partkey % 35 + 1 AS VARCHAR) AS adb_sector_name FROM part),
+pos AS (SELECT CASE WHEN l_suppkey % 10 = 0 THEN 'can' ELSE 'usa ' END AS country,
+               CAST(l_partkey % 35 + 1 AS INTEGER) AS sect, year(l_shipdate) AS year,
+               round(1.0 + {exact_mean_sql('l_discount')} * 10, 6) AS upstreamness, 'adb' AS source
+        FROM lineitem GROUP BY 1, 2, 3),
+pp AS (SELECT p.sect AS adb_sector_code, p.year, p.upstreamness AS upstream_value,
+              CAST(NULL AS DOUBLE) AS downstream_value, s.adb_sector_name
+       FROM pos p LEFT JOIN sectors s ON s.adb_sector_code = p.sect
+       WHERE upper(trim(p.country)) = 'USA' AND lower(trim(p.source)) = 'adb' AND p.sect IS NOT NULL
+         AND p.year BETWEEN {PROXY_YEARS[0]} AND {PROXY_YEARS[-1]}),
+f0 AS (SELECT s_name AS company_name, 'T' || CAST(s_suppkey AS VARCHAR) AS ticker,
+              CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'text'
+                   ELSE CAST(s_suppkey * 7919 % 9999 AS VARCHAR) END AS nace,
+              CASE WHEN s_nationkey % 5 = 0 THEN 'ca' ELSE ' us' END AS iso FROM supplier),
+f1 AS (SELECT company_name, ticker, CASE WHEN length(d) < 4 THEN lpad(d, 4, '0') ELSE d END AS nace_code_4d
+       FROM (SELECT *, nullif(regexp_extract(nace, '(\\d+)', 1), '') AS d FROM f0 WHERE upper(trim(iso)) = 'US') x),
+m(code, sector) AS (VALUES {nace}),
+f3 AS (SELECT f1.*, substr(nace_code_4d, 1, 2) AS nace_code_2d, m.sector AS code0
+       FROM f1 LEFT JOIN m ON m.code = substr(f1.nace_code_4d, 1, 2)),
+f4 AS (SELECT *, CAST(CASE {whens} ELSE code0 END AS INTEGER) AS adb_sector_code FROM f3),
+cls AS (SELECT DISTINCT f4.company_name, f4.ticker, f4.nace_code_4d, f4.nace_code_2d, f4.adb_sector_code,
+               s.adb_sector_name FROM f4 LEFT JOIN sectors s ON s.adb_sector_code = f4.adb_sector_code),
+panel AS (SELECT cls.*, pp.year, pp.upstream_value, pp.downstream_value FROM cls LEFT JOIN pp
+          ON cls.adb_sector_code IS NOT DISTINCT FROM pp.adb_sector_code
+         AND cls.adb_sector_name IS NOT DISTINCT FROM pp.adb_sector_name)
+SELECT {keys}, {cells}
+FROM panel
+WHERE year IS NOT NULL AND company_name IS NOT NULL AND ticker IS NOT NULL AND nace_code_4d IS NOT NULL
+  AND nace_code_2d IS NOT NULL AND adb_sector_code IS NOT NULL AND adb_sector_name IS NOT NULL
+GROUP BY {keys}"""
+
+
+ORACLE = {"sector_panel_wide": _oracle()}
