@@ -18,6 +18,7 @@ _MODULES = [
     "aftershock.plans.facts",
     "aftershock.plans.learn",
     "aftershock.plans.sectors",
+    "aftershock.plans.firms",
 ]
 
 
