@@ -1,23 +1,26 @@
 """Domain lookup values.
 
-FIXED VALUES: the tables below must equal the values the studied analysis
-uses (sector code map, name-pattern fills, regions, filing tags and forms,
-the company-name normaliser word list, model settings).  They are stated
-plainly and in their natural order; larger tables are built from ranges.
+FIXED VALUES: the tables between the markers must equal the values the
+studied analysis uses (sector code map, name-pattern fills, regions, filing
+tags and forms, the company-name normaliser word list, score weights, model
+settings).  They are stated plainly, in their natural order.  The postal
+abbreviation table is public reference data.
 """
 
 from __future__ import annotations
 
 # ---------------------------------------------------------------- FIXED VALUES
-# NACE Rev.2 division (2-digit) -> 35-sector code; "a-b" is an inclusive range.
-NACE_TO_SECTOR_RANGES = {
-    1: ["01-03"], 2: ["05-09"], 3: ["10-12"], 4: ["13", "14"], 5: ["15"], 6: ["16"],
-    7: ["17", "18"], 8: ["19"], 9: ["20", "21"], 10: ["22"], 11: ["23"], 12: ["24", "25"],
-    13: ["28"], 14: ["26", "27"], 15: ["29", "30"], 16: ["31-33"], 17: ["35-39"],
-    18: ["41-43"], 19: ["45"], 20: ["46"], 21: ["47"], 22: ["55", "56"], 23: ["49"],
-    24: ["50"], 25: ["51"], 26: ["52", "53", "79"], 27: ["58-61"], 28: ["64-66"], 29: ["68"],
-    30: ["62", "63", "69-74", "77", "78", "80-82"], 31: ["84"], 32: ["85"], 33: ["86-88"],
-    34: ["90-96", "99"], 35: ["97", "98"],
+# NACE Rev.2 division (2-digit code) -> 35-sector code, in code order (87 codes).
+NACE_TO_SECTOR = {
+    "01": 1, "02": 1, "03": 1, "05": 2, "06": 2, "07": 2, "08": 2, "09": 2, "10": 3, "11": 3,
+    "12": 3, "13": 4, "14": 4, "15": 5, "16": 6, "17": 7, "18": 7, "19": 8, "20": 9, "21": 9,
+    "22": 10, "23": 11, "24": 12, "25": 12, "26": 14, "27": 14, "28": 13, "29": 15, "30": 15, "31": 16,
+    "32": 16, "33": 16, "35": 17, "36": 17, "37": 17, "38": 17, "39": 17, "41": 18, "42": 18, "43": 18,
+    "45": 19, "46": 20, "47": 21, "49": 23, "50": 24, "51": 25, "52": 26, "53": 26, "55": 22, "56": 22,
+    "58": 27, "59": 27, "60": 27, "61": 27, "62": 30, "63": 30, "64": 28, "65": 28, "66": 28, "68": 29,
+    "69": 30, "70": 30, "71": 30, "72": 30, "73": 30, "74": 30, "77": 30, "78": 30, "79": 26, "80": 30,
+    "81": 30, "82": 30, "84": 31, "85": 32, "86": 33, "87": 33, "88": 33, "90": 34, "91": 34, "92": 34,
+    "93": 34, "94": 34, "95": 34, "96": 34, "97": 35, "98": 35, "99": 34,
 }
 
 # Name-pattern fills applied when the sector code is null (substring match on
@@ -104,7 +107,6 @@ STRESS_CLAMP = (0.0, 365.0)
 STRESS_TAILS = {"zero_share": 0.05, "long_share": 0.08, "cap": 180.0}
 
 # Model settings.
-SEED = 4101
 RFE_SIZES = [5, 10, 15, 20, 25, 30]
 N_SPLITS = 10
 CV_FOLDS = 10
@@ -113,18 +115,14 @@ P_MAX = 0.05
 QUANTILE_LEVELS = [round(0.05 + 0.01 * i, 2) for i in range(96)]
 # ------------------------------------------------------------- END FIXED VALUES
 
-
-def _expand(spec: str) -> list[str]:
-    if "-" in spec:
-        a, b = spec.split("-")
-        return [f"{i:02d}" for i in range(int(a), int(b) + 1)]
-    return [spec]
+# Seed of the hash-based randomness (xxhash64(id, SEED)); R's generator cannot
+# be reproduced by hashing, so this is our own choice, not a matched value.
+SEED = 42
 
 
 def nace_to_sector() -> dict[str, int]:
     """2-digit NACE string -> sector code (87 entries)."""
-    return {code: sector for sector, specs in NACE_TO_SECTOR_RANGES.items()
-            for spec in specs for code in _expand(spec)}
+    return dict(NACE_TO_SECTOR)
 
 
 def state_to_region() -> dict[str, str]:
