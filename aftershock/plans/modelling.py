@@ -6,12 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from aftershock.functions.constants import (QUANTILE_LEVELS, SEED, STRESS_BASE, STRESS_CLAMP,
                                             STRESS_INTERACTIONS, STRESS_TAILS, STRESS_WEIGHTS)
 from aftershock.operators.metrics import pr_auc as _pr, roc_auc as _roc, roc_points as _points
-from aftershock.operators.ranking import ordinal
 from aftershock.operators.selection import aggregate_pvalues, rank_features
 from aftershock.operators.split import chrono_group_split as _chrono, stratified_split as _strat
 from aftershock.operators.stress import linear_score as _lin, sample_groups as _sample, tail_overwrite as _tail
