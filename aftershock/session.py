@@ -22,6 +22,11 @@ DEFAULT_CONF = {
     # AQE sizes shuffle partitions at run time and splits a skewed join
     # partition; scan splits stay at 128 MB
     "spark.sql.files.maxPartitionBytes": "128m",
+    # broadcast only on measured sizes: static planning estimates an explode's
+    # output at its input's size, so static auto-broadcast is off and AQE
+    # broadcasts at run time when a shuffle stage is actually small
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # model selection runs thousands of small jobs: keep the driver's status
     # store bounded
