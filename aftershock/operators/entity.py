@@ -93,7 +93,7 @@ def fuzzy_matches(firms: DataFrame, directory: DataFrame, threshold: int = FUZZY
               .groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
     fp = _prefixes(fnames, "fn", df_all, threshold)
     dp = _prefixes(dnames, "dn", df_all, threshold)
-    cand = fp.join(dp, "gram").select("fn", "dn").distinct()
+    cand = fp.join(dp.hint("merge"), "gram").select("fn", "dn").distinct()  # both exploded
     m = F.greatest(F.length("fn"), F.length("dn"))
     score = F.bround(F.lit(100.0) * (F.lit(1.0) - F.levenshtein("fn", "dn") / m), 0).cast("int")
     scored = cand.withColumn("score", score)

@@ -64,7 +64,7 @@ def annual_series(parsed: DataFrame, tags: dict[str, list[str]] = FILING_TAGS,
     spark = parsed.sparkSession
     keys, facts = flatten_facts(parsed)
     chosen = choose_units(keys)
-    f = facts.join(chosen, ["cik", "tag", "unit"])                       # N2
+    f = facts.join(chosen.hint("merge"), ["cik", "tag", "unit"])         # N2 (facts are exploded)
     f = f.join(F.broadcast(_tag_table(spark, tags)), "tag")              # variable, priority (small literal)
     f = (f.withColumn("end_d", F.try_to_date("end")).withColumn("filed_d", F.try_to_date("filed"))
          .where(F.col("form").isin(list(forms)) & F.col("end_d").isNotNull() & F.col("filed_d").isNotNull())
@@ -73,7 +73,7 @@ def annual_series(parsed: DataFrame, tags: dict[str, list[str]] = FILING_TAGS,
     # FY rows only, if the (cik, tag) list has any
     is_fy = F.coalesce(F.upper("fp") == "FY", F.lit(False))
     has_fy = f.groupBy("cik", "tag").agg(F.max(is_fy.cast("int")).alias("_has_fy"))
-    f = f.join(has_fy, ["cik", "tag"]).where((F.col("_has_fy") == 0) | is_fy)
+    f = f.join(has_fy.hint("merge"), ["cik", "tag"]).where((F.col("_has_fy") == 0) | is_fy)
     # One fact per (cik, variable, tag, year)
     f = f.withColumn("_amend", amended_form("form").cast("int"))
     f = first_by(f.select("cik", "variable", "tag", "prio", "fiscal_year", "_amend", "filed_d", "end_d", "doc", "pos",
@@ -82,7 +82,7 @@ def annual_series(parsed: DataFrame, tags: dict[str, list[str]] = FILING_TAGS,
                  [("_amend", False), ("filed_d", True), ("end_d", True), ("doc", False), ("pos", False)])
     # The first tag (by priority) with any row supplies all years
     best = f.groupBy("cik", "variable").agg(F.min("prio").alias("prio"))
-    f = f.join(best, ["cik", "variable", "prio"])
+    f = f.join(best.hint("merge"), ["cik", "variable", "prio"])
     return f.select("cik", F.col("variable").alias("variable_name"), F.col("tag").alias("source_tag"),
                     "fiscal_year", F.col("end_d").alias("period_end"), F.col("filed_d").alias("filed_date"),
                     "form", F.col("val").alias("value"))

@@ -55,7 +55,8 @@ def firm_event_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4 (storm states x firm branches, left), J3 (metrics of the same year),
     W3 (first row per firm and storm by state position)."""
     ev = _storm_states(spark, sf_dir)
-    j = ev.join(_firm_branches(spark, sf_dir), "state", "left")
+    # both sides come from explodes (sizes underestimated): a shuffle join
+    j = ev.join(_firm_branches(spark, sf_dir).hint("merge"), "state", "left")
     j = j.join(_firm_metrics(spark, sf_dir), ["ticker", "disaster_year"], "left")
     j = first_by(j, ["ticker", "event_name"], [("state_pos", False), ("state", False)])
     return j.select("event_name", "disaster_year", "ticker", "state", "state_pos",

@@ -119,7 +119,7 @@ def event_window_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = proxies.long_prices(spark, sf_dir)
     days = pairs.withColumn("offset_days", F.explode(F.sequence(F.lit(-WINDOW_DAYS), F.lit(WINDOW_DAYS)))) \
         .withColumn("date", F.date_add("shock_date", "offset_days"))
-    j = days.join(prices, ["ticker", "date"])
+    j = days.join(prices.hint("merge"), ["ticker", "date"])  # exploded pairs: never broadcast
     local = j.groupBy("event_name", "shock_date", "date", "offset_days").agg(
         exact_mean("close").alias("local_close"), F.countDistinct("ticker").alias("n_firms"))
     local = _slice_returns(local, ["event_name"], "local_close", "local_ret")
