@@ -480,3 +480,20 @@ def test_multisplit_selects_the_signal(spark):
     sel = {(f, s): sel for f, s, p, sel in out}
     assert sel[("signal", 0)] == 1 and sel[("signal", 1)] == 1
     assert all(0.0 <= p <= 1.0 for _, _, p, _ in out)
+
+
+def test_permutation_importance_and_glm_pvalues(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+    from aftershock.operators.learn import glm_pvalues, permutation_importance
+    rnd = random.Random(8)
+    rows = []
+    for i in range(200):
+        a, b = rnd.gauss(0, 1), rnd.gauss(0, 1)
+        rows.append((i, Vectors.dense([a, 1.0, b]), int(a + 0.5 * rnd.gauss(0, 1) > 0)))
+    df = spark.createDataFrame(rows, ["id", "features", "y"])
+    m = LogisticRegression(featuresCol="features", labelCol="y").fit(df)
+    imp = dict(permutation_importance(m, df, "features", "y", "id", ["signal", "const", "noise"], seed=3))
+    assert imp["const"] == 0.0 and imp["signal"] > 0.1 and imp["signal"] > imp["noise"]
+    p = glm_pvalues(df, "features", "y", [0, 2])
+    assert p[0] < 1e-6 and 0.0 <= p[2] <= 1.0
