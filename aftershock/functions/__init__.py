@@ -1,0 +1 @@
+"""Scalar column functions and the fixed domain values."""

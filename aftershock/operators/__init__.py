@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators (joins, windows, aggregates, reshapes, learning)."""

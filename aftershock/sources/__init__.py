@@ -1,0 +1 @@
+"""Sources and sinks: driver Parquet tables, CSV, filing JSON."""
