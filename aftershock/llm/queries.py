@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, tokens, toxicity
+from . import langid, mixing, neardup, packing, quality, tokens, toxicity
 from ..session import materialize
 from .common import read_table
 
@@ -27,6 +27,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.neardup_table(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(read_table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_mixing, op5_toxicity, op7_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_mixing, op5_toxicity, op6_near_dedup, op7_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
