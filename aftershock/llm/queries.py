@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, packing, quality, tokens, toxicity
+from . import ann, langid, mixing, neardup, packing, quality, tokens, topk, toxicity
 from ..session import materialize
 from .common import read_table
 
@@ -35,13 +35,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(read_table(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_table(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_table(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_table(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_mixing, op5_toxicity, op6_near_dedup, op7_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_mixing, op5_toxicity, op6_near_dedup, op7_token_counts, op8_exact_top_k, op9_ann, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op8_exact_top_k": topk.ORACLE_SQL}
