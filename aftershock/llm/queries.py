@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, mixing, neardup, packing, quality, tokens, topk, toxicity
+from . import ann, html_text, langid, mixing, neardup, packing, quality, tokens, topk, toxicity
 from ..session import materialize
 from .common import read_table
 
@@ -19,6 +19,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_table(read_table(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_table(materialize(mixing.sized(read_table(spark, sf_dir, "documents")), "mixing-sizes"))
 
@@ -48,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_mixing, op5_toxicity, op6_near_dedup, op7_token_counts, op8_exact_top_k, op9_ann, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_html_text, op4_mixing, op5_toxicity, op6_near_dedup, op7_token_counts, op8_exact_top_k, op9_ann, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
