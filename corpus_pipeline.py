@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aftershock.llm import quality, toxicity
+from aftershock.llm import mixing, neardup, packing, quality, toxicity
 from aftershock.llm.common import read_table
 from aftershock.session import materialize
 
@@ -28,9 +28,27 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup.keep_one(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, a row for each copy that it takes."""
+    return mixing.mix(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's pieces and their places in sequences."""
+    return packing.packing_table(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality_classifier),
     ("toxicity", toxicity_filter),
+    ("near-dedup", near_dedup),
+    ("source mixing", source_mixing),
+    ("best-fit packing", best_fit_packing),
 ]
 
 ORACLE_SQL: str | None = None
