@@ -20,6 +20,12 @@ def ieee_divide(a, b) -> Column:
             .otherwise(a / b))
 
 
+def nan_to_null(c) -> Column:
+    """A NaN of a numeric source is a missing value: Spark orders NaN above
+    every number, so it would win each maximum and pass each threshold."""
+    return F.when(~F.isnan(_c(c)), _c(c))
+
+
 def pct_change_expr(cur, prev) -> Column:
     """W5 ratio ``cur / prev - 1`` with IEEE zero handling."""
     return ieee_divide(cur, prev) - F.lit(1.0)

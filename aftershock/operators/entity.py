@@ -2,21 +2,27 @@
 
 * exact: equal normalised names; the first directory row (by position) of a
   normalised name wins -> score 100, ``exact_normalized``, ``auto_ok``;
-* fuzzy: for names without exact hit, the best directory name by
-  ``round(100 * (1 - levenshtein / max_len))``; ties -> the larger string.
-  Candidates come from q-gram *prefix filtering*: every name keeps only its
-  rarest ``K*q + 1`` q-grams (K = edits allowed at the threshold), and two
-  names are compared only if their prefixes share a gram.  By the q-gram
-  count lemma every pair scoring >= threshold shares a prefix gram, so
-  matches at or above the threshold are exactly those of an exhaustive
-  search, while no all-pairs product of a common gram is ever formed.  Below
-  the threshold the best *candidate* is a review suggestion (optional).
+* fuzzy: for names without exact hit, the best directory name; ties -> the
+  larger string.  ``method="blocks"`` (the default) scores by the matching-block
+  ratio ``round(100 * 2M / (la + lb))`` of ``difflib``, ``"levenshtein"`` by
+  ``round(100 * (1 - levenshtein / max_len))``.  Candidates come from q-gram
+  *prefix filtering*: every name keeps only its rarest ``K*q + 1`` q-grams, and
+  two names are compared only if their prefixes share a gram.  K bounds the
+  edits of any pair at the threshold: M matched characters leave
+  ``la + lb - 2M`` to insert or delete, at most ``(1 - t)(la + lb)``.  By the
+  q-gram count lemma every pair scoring >= threshold shares a prefix gram, so
+  matches at or above the threshold are exactly those of an exhaustive search,
+  while no all-pairs product of a common gram is ever formed.  A name without
+  such a match gets the best of the directory names that hold one of its
+  ``REVIEW_GRAMS`` rarest q-grams, for review.
 * overrides: the last override per name replaces a mapped row (score 999,
   ``manual_override``, ``manual_ok``) or is appended when the name is new.
 """
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -24,10 +30,12 @@ from pyspark.sql.window import Window as W
 from aftershock.functions.constants import EXACT_MATCH_SCORE, FUZZY_THRESHOLD, OVERRIDE_SCORE
 from aftershock.functions.text import normalize_company_name
 from aftershock.operators.dedup import first_by
+from aftershock.session import materialize, ship_package
 
 MAPPING_COLUMNS = ["orbis_company_name", "normalized_orbis_name", "matched_sec_name", "ticker", "cik",
                    "match_score", "match_method", "review_flag"]
 Q = 3
+REVIEW_GRAMS = 8
 
 
 def prepare_directory(directory: DataFrame, name: str = "sec_company_name", pos: str = "pos") -> DataFrame:
@@ -57,12 +65,14 @@ def exact_matches(firms: DataFrame, directory: DataFrame) -> DataFrame:
                     F.lit("exact_normalized").alias("match_method"), F.lit("auto_ok").alias("review_flag"))
 
 
-def _max_edits(length, threshold: int):
+def _max_edits(length, threshold: int, method: str):
     """Largest edit count K any partner may need to score >= threshold
-    against a name of this length: lev <= (1 - (t - 0.5)/100) * m and
-    m <= len / (t - 0.5) * 100."""
+    against a name of this length.  Levenshtein: lev <= (1 - (t - 0.5)/100) * m
+    and m <= len / (t - 0.5) * 100.  Blocks: the partner is at most
+    (2 - t) / t times as long, which makes (1 - t)(la + lb) at most twice as much."""
     slack = 1 - (threshold - 0.5) / 100.0
-    return F.floor(F.lit(slack / (1 - slack)) * length + F.lit(1e-9)).cast("int")
+    factor = slack / (1 - slack) * (2 if method == "blocks" else 1)
+    return F.floor(F.lit(factor) * length + F.lit(1e-9)).cast("int")
 
 
 def _grams(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -75,32 +85,66 @@ def _grams(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return g.withColumn("gram", F.concat(F.col("gram"), F.lit("#"), F.row_number().over(occ).cast("string")))
 
 
-def _prefixes(names: DataFrame, text: str, doc_freq: DataFrame, threshold: int) -> DataFrame:
+def _prefixes(names: DataFrame, text: str, doc_freq: DataFrame, threshold: int, method: str) -> DataFrame:
     g = _grams(names, text, text)
     g = g.join(doc_freq, "gram")
-    k = _max_edits(F.length(text), threshold)
+    k = _max_edits(F.length(text), threshold, method)
     rank = W.partitionBy(text).orderBy("df", "gram")  # one name's grams: bounded by its length
     return (g.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k * Q + 1)
             .select(text, "gram"))
 
 
+def _block_ratios(batches):
+    """score: which directory name is best; shown: the score that is reported.
+    The ratio depends on the order of its two texts; the best name is searched
+    with the firm's name second and scored with it first."""
+    for pdf in batches:
+        best, shown = [], []
+        search = SequenceMatcher(None)
+        for fn, dn in zip(pdf["fn"], pdf["dn"]):
+            if search.b != fn:
+                search.set_seq2(fn)
+            search.set_seq1(dn)
+            best.append(search.ratio())
+            shown.append(int(round(100 * SequenceMatcher(None, fn, dn).ratio())))
+        yield pdf.assign(score=best, shown=shown)
+
+
+def _scored(pairs: DataFrame, method: str) -> DataFrame:
+    if method == "blocks":
+        ship_package(pairs.sparkSession)
+        return pairs.mapInPandas(_block_ratios, "fn string, dn string, score double, shown int")
+    m = F.greatest(F.length("fn"), F.length("dn"))
+    score = F.bround(F.lit(100.0) * (F.lit(1.0) - F.levenshtein("fn", "dn") / m), 0).cast("int")
+    return pairs.withColumn("score", score.cast("double")).withColumn("shown", score)
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("fn").agg(F.max(F.struct("score", "dn", "shown")).alias("b")) \
+        .select("fn", F.col("b.shown").alias("match_score"), F.col("b.dn").alias("dn"))
+
+
 def fuzzy_matches(firms: DataFrame, directory: DataFrame, threshold: int = FUZZY_THRESHOLD,
-                  suggest_below_threshold: bool = False) -> DataFrame:
+                  suggest_below_threshold: bool = True, method: str = "blocks") -> DataFrame:
     """Best directory name per firm name (firms without exact hit only)."""
     dnames = directory.select(F.col("norm").alias("dn")).distinct()
     fnames = firms.select(F.col("normalized_orbis_name").alias("fn")).distinct()
     df_all = (_grams(dnames, "dn", "dn").select("gram").unionByName(_grams(fnames, "fn", "fn").select("gram"))
               .groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
-    fp = _prefixes(fnames, "fn", df_all, threshold)
-    dp = _prefixes(dnames, "dn", df_all, threshold)
+    fp = _prefixes(fnames, "fn", df_all, threshold, method)
+    dp = _prefixes(dnames, "dn", df_all, threshold, method)
     cand = fp.join(dp.hint("merge"), "gram").select("fn", "dn").distinct()  # both exploded
-    m = F.greatest(F.length("fn"), F.length("dn"))
-    score = F.bround(F.lit(100.0) * (F.lit(1.0) - F.levenshtein("fn", "dn") / m), 0).cast("int")
-    scored = cand.withColumn("score", score)
-    if not suggest_below_threshold:
-        scored = scored.where(F.col("score") >= threshold)
-    best = scored.groupBy("fn").agg(F.max(F.struct("score", "dn")).alias("b")) \
-        .select("fn", F.col("b.score").alias("match_score"), F.col("b.dn").alias("dn"))
+    best = _best(_scored(cand, method).where(F.col("shown") >= threshold))
+    if suggest_below_threshold:
+        best = materialize(best, "matches")
+        rest = fnames.join(best.select("fn"), "fn", "left_anti")
+        held = _grams(dnames, "dn", "dn").select("gram", "dn")
+        often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        rarest = W.partitionBy("fn").orderBy("df", "gram")  # one name's grams: bounded by its length
+        few = _grams(rest, "fn", "fn").join(often, "gram").withColumn("_r", F.row_number().over(rarest)) \
+            .where(F.col("_r") <= REVIEW_GRAMS).select("fn", "gram")
+        near = few.join(held.hint("merge"), "gram").select("fn", "dn").distinct()
+        best = best.unionByName(_best(_scored(near, method).where(F.col("shown") < threshold)))
     drow = _first_per_norm(directory).withColumnRenamed("norm", "dn")
     j = (firms.join(best, firms.normalized_orbis_name == best.fn, "left").join(drow, "dn", "left"))
     found = F.col("match_score").isNotNull()
@@ -113,11 +157,11 @@ def fuzzy_matches(firms: DataFrame, directory: DataFrame, threshold: int = FUZZY
 
 
 def match_names(firms: DataFrame, directory: DataFrame, threshold: int = FUZZY_THRESHOLD,
-                suggest_below_threshold: bool = False) -> DataFrame:
+                suggest_below_threshold: bool = True, method: str = "blocks") -> DataFrame:
     """Exact matches, then fuzzy for the remainder (anti-join between)."""
     exact = exact_matches(firms, directory)
     rest = firms.join(exact.select("orbis_company_name"), "orbis_company_name", "left_anti")
-    return exact.unionByName(fuzzy_matches(rest, directory, threshold, suggest_below_threshold)) \
+    return exact.unionByName(fuzzy_matches(rest, directory, threshold, suggest_below_threshold, method)) \
         .select(*MAPPING_COLUMNS)
 
 

@@ -32,10 +32,13 @@ def _tag_table(spark, tags: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "variable string, tag string, prio int")
 
 
-def flatten_facts(parsed: DataFrame, taxonomy: str = "us-gaap") -> tuple[DataFrame, DataFrame]:
-    """-> (unit keys ``cik, tag, unit, key_pos, doc``, facts ``cik, tag, unit,
+def flatten_facts(parsed: DataFrame, taxonomy: str = "us-gaap", tags: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Only the wanted ``tags``, if given, leave the map: a filer has hundreds.
+    -> (unit keys ``cik, tag, unit, key_pos, doc``, facts ``cik, tag, unit,
     doc, pos, end, val, form, filed, fy, fp``)."""
     tx = parsed.select("doc", "cik", F.col("facts")[taxonomy].alias("_t")).where(F.col("_t").isNotNull())
+    if tags is not None:
+        tx = tx.withColumn("_t", F.map_filter("_t", lambda tag, _: tag.isin(*tags)))
     concepts = tx.select("doc", "cik", F.explode("_t").alias("tag", "_c"))
     units = concepts.select("doc", "cik", "tag", F.posexplode(F.map_entries("_c.units")).alias("key_pos", "_u"))
     keys = units.select("cik", "tag", F.col("_u.key").alias("unit"), "key_pos", "doc")
@@ -62,7 +65,7 @@ def annual_series(parsed: DataFrame, tags: dict[str, list[str]] = FILING_TAGS,
     """Provenance rows: cik, variable_name, source_tag, fiscal_year,
     period_end, filed_date, form, value."""
     spark = parsed.sparkSession
-    keys, facts = flatten_facts(parsed)
+    keys, facts = flatten_facts(parsed, tags=sorted({t for ts in tags.values() for t in ts}))
     chosen = choose_units(keys)
     f = facts.join(chosen.hint("merge"), ["cik", "tag", "unit"])         # N2 (facts are exploded)
     f = f.join(F.broadcast(_tag_table(spark, tags)), "tag")              # variable, priority (small literal)

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from aftershock.operators.joins import null_safe_join
 from aftershock.session import materialize
 
 
@@ -24,7 +25,7 @@ def ordered_cumsum(df: DataFrame, order: Sequence[str], cols: Sequence[str], par
     """Inclusive running sums of ``cols`` in ascending ``order`` (within ``part``).
     The order must be total for a deterministic result.  ``part`` is meant
     for low-cardinality splits (classes, projections): the offsets table has
-    one row per (range partition, part value) and is broadcast."""
+    one row per (range partition, part value)."""
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     part, order, cols = list(part), list(order), list(cols)
@@ -36,7 +37,8 @@ def ordered_cumsum(df: DataFrame, order: Sequence[str], cols: Sequence[str], par
                                           for i in range(len(cols))])
     within = W.partitionBy("_pid", *part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = r.withColumns({f"_w{i}": F.sum(c).over(within) for i, c in enumerate(cols)})
-    out = out.join(F.broadcast(offs), ["_pid", *part])  # one row per (range partition, part)
+    # one row per (range partition, part); a null part is a part of its own
+    out = null_safe_join(out, offs, ["_pid", *part], "inner")
     return (out.withColumns({f"{prefix}{c}": F.col(f"_w{i}") + F.col(f"_o{i}") for i, c in enumerate(cols)})
             .drop("_pid", *[f"_w{i}" for i in range(len(cols))], *[f"_o{i}" for i in range(len(cols))]))
 
@@ -45,7 +47,3 @@ def ordinal(df: DataFrame, order: Sequence[str], out: str = "ordinal", part: Seq
     """1-based position in ``order`` (within ``part``), distributed."""
     return ordered_cumsum(df.withColumn("_one", F.lit(1)), order, ["_one"], part, prefix="_c") \
         .withColumnRenamed("_c_one", out).drop("_one")
-
-
-def neg(c: str) -> Column:
-    return -F.col(c)

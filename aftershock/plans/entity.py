@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from aftershock.functions.constants import FUZZY_THRESHOLD
 from aftershock.functions.text import name_normalizer_sql
 from aftershock.operators.entity import (MAPPING_COLUMNS, apply_overrides, exact_matches, fuzzy_matches,
-                                         match_names, prepare_directory, prepare_firms)
+                                         match_names, needs_review, prepare_directory,
+                                         prepare_firms)
 from aftershock.sources.tables import table
 
 
@@ -61,18 +62,32 @@ def entity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     firms, d = _firms(spark, sf_dir), _directory(spark, sf_dir)
     rest = firms.join(exact_matches(firms, d).select("orbis_company_name"), "orbis_company_name", "left_anti")
-    return fuzzy_matches(rest, d, FUZZY_THRESHOLD).select(*MAPPING_COLUMNS)
+    return fuzzy_matches(rest, d, FUZZY_THRESHOLD, False, "levenshtein").select(*MAPPING_COLUMNS)
+
+
+def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J17 with the matching-block ratio and review rows (not SQL: tested
+    against an exhaustive search)."""
+    return match_names(_firms(spark, sf_dir), _directory(spark, sf_dir))
+
+
+def entity_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the mapping that a person has to look at."""
+    return needs_review(entity_match(spark, sf_dir))
 
 
 def entity_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _directory(spark, sf_dir)
-    return apply_overrides(match_names(_firms(spark, sf_dir), d), _overrides(spark, sf_dir), d) \
+    mapping = match_names(_firms(spark, sf_dir), d, FUZZY_THRESHOLD, False, "levenshtein")
+    return apply_overrides(mapping, _overrides(spark, sf_dir), d) \
         .select(*MAPPING_COLUMNS)
 
 
 QUERIES = {
     "entity_exact": entity_exact,
     "entity_fuzzy": entity_fuzzy,
+    "entity_match": entity_match,
+    "entity_review": entity_review,
     "entity_override": entity_override,
 }
 

@@ -42,10 +42,11 @@ def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chrono_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events = (order date, priority); the earliest 80% of events train."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    return _chrono(o, ["o_orderdate", "o_orderpriority"], ["o_orderdate", "o_orderpriority"]) \
-        .select("o_orderkey", "split")
+    """Events = customers, each with many order dates; customers divisible by 97
+    are one event without a name; the earliest 80% of events train."""
+    event = F.when(F.col("o_custkey") % 97 != 0, F.col("o_custkey")).alias("event")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", event)
+    return _chrono(o, ["event"], ["o_orderdate"]).select("o_orderkey", "split")
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,11 +213,12 @@ SELECT round(CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(seg) / max(P) END, 6)
 SELECT score AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
        round(tp / P, 6) AS tpr, round(fp / N, 6) AS fpr FROM c, t""",
     "chrono_group_split": """
-WITH ev AS (SELECT DISTINCT o_orderdate, o_orderpriority FROM orders),
+WITH o AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_custkey % 97 <> 0 THEN o_custkey END AS event FROM orders),
+ev AS (SELECT event, min(o_orderdate) AS d FROM o GROUP BY 1),
 n AS (SELECT count(*) AS n FROM ev),
-r AS (SELECT o_orderdate, o_orderpriority, row_number() OVER (ORDER BY o_orderdate, o_orderpriority) AS k FROM ev)
+r AS (SELECT event, row_number() OVER (ORDER BY d NULLS LAST, event NULLS LAST) AS k FROM ev)
 SELECT o.o_orderkey, CASE WHEN r.k <= floor(0.8 * n.n) THEN 'train' ELSE 'test' END AS split
-FROM orders o JOIN r ON r.o_orderdate = o.o_orderdate AND r.o_orderpriority = o.o_orderpriority, n""",
+FROM o JOIN r ON r.event IS NOT DISTINCT FROM o.event, n""",
     "zscore": f"""WITH {_FEAT}
 SELECT c_custkey, round(z_acctbal, 6) AS z_acctbal, round(z_spend, 6) AS z_spend, round(z_orders, 6) AS z_orders
 FROM z""",

@@ -30,24 +30,31 @@ def _ts(day: str):
     return F.expr(f"TIMESTAMP_NTZ'{day} 00:00:00'")
 
 
-def long_prices(spark: SparkSession, sf_dir: str, start: str = START) -> DataFrame:
+def long_prices(spark: SparkSession, sf_dir: str, start: str | None = None) -> DataFrame:
+    """``start`` is the recovery panel's lower date bound (F2)."""
     li = table(spark, sf_dir, "lineitem")
-    return (li.where(F.col("l_shipdate") >= _ts(start))
-            .groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"))
+    li = li.where(F.col("l_shipdate") >= _ts(start)) if start else li.where(F.col("l_shipdate").isNotNull())
+    return (li.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"))
             .agg(F.round(exact_mean("l_extendedprice"), 6).alias("close")))
 
 
-LONG_PRICES_SQL = f"""
+def _long_prices_sql(condition: str) -> str:
+    return f"""
 SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, round({exact_mean_sql("l_extendedprice")}, 6) AS close
-FROM lineitem WHERE l_shipdate >= TIMESTAMP '{START}' GROUP BY 1, 2"""
+FROM lineitem WHERE {condition} GROUP BY 1, 2"""
+
+
+LONG_PRICES_SQL = _long_prices_sql("l_shipdate IS NOT NULL")
+RECOVERY_PRICES_SQL = _long_prices_sql(f"l_shipdate >= TIMESTAMP '{START}'")
 
 
 def storms(spark: SparkSession, sf_dir: str, per_year: int = STORMS_PER_YEAR,
-           start: str = START) -> DataFrame:
+           start: str | None = None) -> DataFrame:
     """W4 top-N per year.  ``row_number() <= N`` is planned with a partial
     WindowGroupLimit before the shuffle, so a huge year ships only N rows per
     map task."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= _ts(start))
+    o = table(spark, sf_dir, "orders")
+    o = o.where(F.col("o_orderdate") >= _ts(start)) if start else o.where(F.col("o_orderdate").isNotNull())
     w = W.partitionBy(F.year("o_orderdate")).orderBy(F.col("o_totalprice").desc_nulls_last(),
                                                       F.col("o_orderkey"))
     return (o.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_year)
@@ -59,16 +66,21 @@ def storms(spark: SparkSession, sf_dir: str, per_year: int = STORMS_PER_YEAR,
                     F.col("_r").cast("int").alias("storm_rank")))
 
 
-STORMS_SQL = f"""
+def _storms_sql(condition: str) -> str:
+    return f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS event_name, CAST(o_orderdate AS DATE) AS shock_date,
        CAST(year(o_orderdate) AS INTEGER) AS disaster_year, o_totalprice AS damage,
        o_custkey, o_orderkey, CAST(r AS INTEGER) AS storm_rank
 FROM (SELECT *, row_number() OVER (PARTITION BY year(o_orderdate)
                                    ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS r
-      FROM orders WHERE o_orderdate >= TIMESTAMP '{START}') t
+      FROM orders WHERE {condition}) t
 WHERE r <= {STORMS_PER_YEAR}"""
 
 
+STORMS_SQL = _storms_sql("o_orderdate IS NOT NULL")
+RECOVERY_STORMS_SQL = _storms_sql(f"o_orderdate >= TIMESTAMP '{START}'")
+
+
 def event_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily close per user: value of the latest (ts, event_id) of the day.
     ``max_by`` is a partial aggregate, so a hot user is combined map-side."""

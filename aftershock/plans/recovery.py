@@ -14,7 +14,16 @@ HORIZONS = (1, 7, 30, 180)
 
 
 def recovery_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recovery_search(proxies.long_prices(spark, sf_dir), proxies.storms(spark, sf_dir))
+    return recovery_search(proxies.long_prices(spark, sf_dir, proxies.START),
+                           proxies.storms(spark, sf_dir, start=proxies.START))
+
+
+def recovery_panel_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel over prices of which every fifth is NaN: missing, as null is."""
+    p = proxies.long_prices(spark, sf_dir, proxies.START)
+    hole = (F.datediff("date", F.lit("1970-01-01")) + F.col("ticker")) % 5 == 0
+    p = p.withColumn("close", F.when(hole, F.lit(float("nan"))).otherwise(F.col("close")))
+    return recovery_search(p, proxies.storms(spark, sf_dir, start=proxies.START))
 
 
 def recovery_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +75,11 @@ def asof_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("pre_close").alias("pre_shock_price"))
 
 
-_RECOVERY_SQL = f"""
-WITH prices AS ({proxies.LONG_PRICES_SQL}),
+def _recovery_sql(prices: str) -> str:
+    return f"""
+WITH prices AS ({prices}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM prices),
-storms AS ({proxies.STORMS_SQL}),
+storms AS ({proxies.RECOVERY_STORMS_SQL}),
 tickers AS (SELECT DISTINCT ticker FROM prices),
 pairs AS (SELECT s.event_name, s.shock_date, t.ticker FROM storms s CROSS JOIN tickers t),
 bench AS (
@@ -91,8 +101,14 @@ SELECT b.event_name, b.shock_date, b.ticker, b.pre_shock_date, b.pre_shock_price
 FROM bench b LEFT JOIN hits h ON h.event_name = b.event_name AND h.ticker = b.ticker
 LEFT JOIN ranked r ON r.ticker = b.ticker AND r.rn = h.hit_rn)"""
 
+
+_RECOVERY_SQL = _recovery_sql(proxies.RECOVERY_PRICES_SQL)
+
 ORACLE = {
     "recovery_panel": _RECOVERY_SQL + "\nSELECT * FROM panel",
+    "recovery_panel_nan": _recovery_sql(f"""SELECT ticker, date,
+  CASE WHEN (date - DATE '1970-01-01' + ticker) % 5 <> 0 THEN close END AS close
+  FROM ({proxies.RECOVERY_PRICES_SQL}) x""") + "\nSELECT * FROM panel",
     "recovery_checks": _RECOVERY_SQL + """
 SELECT count(DISTINCT event_name) AS num_storms, count(*) AS n_rows,
        count(*) FILTER (WHERE pre_shock_date IS NULL) AS missing_pre_shock_date,
@@ -126,6 +142,7 @@ FROM probes p ASOF LEFT JOIN prices r ON p.ticker = r.ticker AND p.probe_date >
 
 QUERIES = {
     "recovery_panel": recovery_panel,
+    "recovery_panel_nan": recovery_panel_nan,
     "recovery_checks": recovery_checks,
     "recovery_ticker_counts": recovery_ticker_counts,
     "recovery_flags": recovery_flags,

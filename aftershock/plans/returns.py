@@ -8,12 +8,15 @@ from pyspark.sql.window import Window as W
 
 from aftershock.functions.numeric import exact_mean, exact_mean_sql, pct_change_expr
 from aftershock.operators.joins import membership_flag, substring_or_equal_join, window_join
+from aftershock.operators.ranking import ordinal
 from aftershock.operators.series import ffill_series, pct_change
 from aftershock.plans import proxies
 from aftershock.sources.tables import table
 
-WINDOW_DAYS = 15
-SECTOR_RANGE = ("1998-01-01", "1998-03-31")
+MARKET_DAYS, LOCAL_DAYS = 15, 10
+SECTOR_RANGE = ("1998-01-01", "1998-02-28")
+PEAK_DAYS = ("1998-01-25", "1998-01-29")
+SECTOR_STATES = ("NATION_1", "NATION_3", "NATION_8", "NATION_12", "NATION_17", "NATION_20", "NATION_24")
 
 
 def _r6(c):
@@ -75,20 +78,20 @@ def storm_vs_normal_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- D12
-def _slice_returns(df: DataFrame, part: list[str], close: str, out: str) -> DataFrame:
-    # returns inside one event window (<= 31 rows): first day of the slice is null
-    w = W.partitionBy(*part).orderBy("date")
-    return df.withColumn(out, pct_change_expr(F.col(close), F.lag(close).over(w)))
-
-
 def event_window_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market returns, computed on the full series, within +-15 days."""
     st = proxies.storms(spark, sf_dir).select("event_name", "shock_date")
-    j = window_join(st, _market(spark, sf_dir), "shock_date", "date", WINDOW_DAYS, WINDOW_DAYS)
-    j = _slice_returns(j, ["event_name"], "market_close", "market_ret")
+    m = pct_change(_market(spark, sf_dir), [], "date", "market_close", "market_ret")
+    j = window_join(st, m, "shock_date", "date", MARKET_DAYS, MARKET_DAYS)
     return j.select("event_name", "shock_date", "date", F.col("offset_days").cast("int").alias("offset_days"),
                     _r6("market_close").alias("market_close"), _r6("market_ret").alias("market_ret"))
 
 
+def _trading_days(prices: DataFrame) -> DataFrame:
+    """date and its number among all days on which any firm has a price."""
+    return ordinal(prices.select("date").distinct(), ["date"], "day")
+
+
 def _storm_places(spark, sf_dir) -> DataFrame:
     """Storm location = lower nation name of the ordering customer; storm
     'country' = lower name of nation (order key mod 25)."""
@@ -112,19 +115,23 @@ def _firms(spark, sf_dir) -> DataFrame:
 
 def event_window_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J13 + J14: firms whose region is inside the storm location (substring)
-    or equals its country; their mean close per day within +-15 days."""
+    or equals its country; the mean of their daily returns within +-10 days.
+    A firm's return is taken inside the window, over consecutive trading days;
+    a day without a price gives none."""
     pairs = substring_or_equal_join(_firms(spark, sf_dir).select("ticker", "firm_region"),
                                     _storm_places(spark, sf_dir), "firm_region", "location", "country")
     pairs = pairs.select("event_name", "shock_date", "ticker")
     prices = proxies.long_prices(spark, sf_dir)
-    days = pairs.withColumn("offset_days", F.explode(F.sequence(F.lit(-WINDOW_DAYS), F.lit(WINDOW_DAYS)))) \
+    days = pairs.withColumn("offset_days", F.explode(F.sequence(F.lit(-LOCAL_DAYS), F.lit(LOCAL_DAYS)))) \
         .withColumn("date", F.date_add("shock_date", "offset_days"))
-    j = days.join(prices.hint("merge"), ["ticker", "date"])  # exploded pairs: never broadcast
-    local = j.groupBy("event_name", "shock_date", "date", "offset_days").agg(
-        exact_mean("close").alias("local_close"), F.countDistinct("ticker").alias("n_firms"))
-    local = _slice_returns(local, ["event_name"], "local_close", "local_ret")
+    j = days.join(prices.hint("merge"), ["ticker", "date"]).join(_trading_days(prices), "date")
+    own = W.partitionBy("event_name", "ticker").orderBy("date")  # at most 21 rows
+    ret = F.when(F.lag("day").over(own) == F.col("day") - 1,
+                 pct_change_expr(F.col("close"), F.lag("close").over(own)))
+    local = j.withColumn("_ret", ret).groupBy("event_name", "shock_date", "date", "offset_days").agg(
+        F.avg("_ret").alias("local_ret"), F.countDistinct("ticker").alias("n_firms"))
     return local.select("event_name", "shock_date", "date", F.col("offset_days").cast("int").alias("offset_days"),
-                        _r6("local_close").alias("local_close"), _r6("local_ret").alias("local_ret"), "n_firms")
+                        _r6("local_ret").alias("local_ret"), "n_firms")
 
 
 # ---------------------------------------------------------------- D13 / W6
@@ -142,24 +149,33 @@ def ffill_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sector_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within a fixed date range, per-ticker mean daily return of the
-    forward-filled close, then mean over the firms of each sector (region)."""
-    lo, hi = SECTOR_RANGE
-    p = proxies.long_prices(spark, sf_dir).where(F.col("date").between(F.lit(lo).cast("date"),
-                                                                        F.lit(hi).cast("date")))
-    # the slice holds at most ~90 rows per ticker, so a per-ticker window is bounded
-    w = W.partitionBy("ticker").orderBy("date")
-    p = p.withColumn("close_ffill", F.last("close", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    p = p.withColumn("ret", pct_change_expr(F.col("close_ffill"), F.lag("close_ffill").over(w)))
-    per_ticker = p.groupBy("ticker").agg(F.avg("ret").alias("mean_ret"))
-    firms = _firms(spark, sf_dir)
-    reg = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"),
-                                                F.col("r_name").alias("sector"))
-    firms = firms.join(F.broadcast(reg), "n_regionkey")  # 5-row dimension
-    j = per_ticker.join(firms, "ticker")
-    return (j.groupBy("sector").agg(_r6(F.avg("mean_ret")).alias("avg_return"),
-                                    F.count(F.lit(1)).alias("n_firms"))
-            .orderBy(F.col("avg_return").desc_nulls_last()))
+    """Firms of some states (last part of the headquarters text); over a
+    two-month slice of trading days the close is forward-filled and differenced,
+    the returns of the peak days are averaged per firm, then over the firms of
+    each sector (region), lowest first."""
+    def between(bounds):
+        return F.col("date").between(*[F.lit(x).cast("date") for x in bounds])
+
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
+    reg = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("sector"))
+    # nation and region are fixed dimensions of 25 and 5 rows
+    firms = s.join(F.broadcast(n), "s_nationkey").join(F.broadcast(reg), "n_regionkey")
+    headquarters = F.concat_ws(", ", "s_name", "n_name")
+    state = F.trim(F.element_at(F.split(headquarters, ","), -1))
+    firms = firms.where(state.isin(*SECTOR_STATES)).select(F.col("s_suppkey").alias("ticker"), "sector")
+    p = proxies.long_prices(spark, sf_dir).where(between(SECTOR_RANGE))
+    days = p.select("date").distinct()  # at most the days of the slice
+    grid = firms.join(p.select("ticker").distinct(), "ticker", "left_semi").select("ticker", F.explode(F.sequence(
+        F.lit(SECTOR_RANGE[0]).cast("date"), F.lit(SECTOR_RANGE[1]).cast("date"))).alias("date"))
+    g = grid.join(days, "date").join(p, ["ticker", "date"], "left")
+    w = W.partitionBy("ticker").orderBy("date")  # at most 59 rows
+    g = g.withColumn("filled", F.last("close", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    g = g.withColumn("ret", pct_change_expr(F.col("filled"), F.lag("filled").over(w)))
+    per_firm = g.where(between(PEAK_DAYS)).groupBy("ticker").agg(F.avg("ret").alias("mean_ret"))
+    return (per_firm.join(firms, "ticker").groupBy("sector")
+            .agg(_r6(F.avg("mean_ret")).alias("avg_return"), F.count("mean_ret").alias("n_firms"))
+            .orderBy(F.col("avg_return").asc_nulls_last()))
 
 
 QUERIES = {
@@ -203,13 +219,11 @@ SELECT round(avg(market_ret) FILTER (WHERE s), 6) AS avg_ret_storm,
        count(market_ret) FILTER (WHERE NOT s) AS n_normal_days
 FROM flagged""",
     "event_window_market": f"""WITH {_MARKET},
-storms AS ({proxies.STORMS_SQL}),
-j AS (SELECT s.event_name, s.shock_date, m.date, CAST(m.date - s.shock_date AS INTEGER) AS offset_days,
-             m.market_close
-      FROM storms s JOIN market m ON m.date BETWEEN s.shock_date - INTERVAL 15 DAY AND s.shock_date + INTERVAL 15 DAY)
-SELECT event_name, shock_date, date, offset_days, round(market_close, 6) AS market_close,
-       round(market_close / lag(market_close) OVER (PARTITION BY event_name ORDER BY date) - 1, 6) AS market_ret
-FROM j""",
+storms AS ({proxies.STORMS_SQL})
+SELECT s.event_name, s.shock_date, m.date, CAST(m.date - s.shock_date AS INTEGER) AS offset_days,
+       round(m.market_close, 6) AS market_close, round(m.market_ret, 6) AS market_ret
+FROM storms s JOIN mret m
+  ON m.date BETWEEN s.shock_date - INTERVAL {MARKET_DAYS} DAY AND s.shock_date + INTERVAL {MARKET_DAYS} DAY""",
     "event_window_local": f"""WITH storms AS ({proxies.STORMS_SQL}),
 places AS (SELECT s.event_name, s.shock_date, lower(n1.n_name) AS location, lower(n2.n_name) AS country
            FROM storms s LEFT JOIN customer c ON s.o_custkey = c.c_custkey
@@ -219,15 +233,16 @@ places AS (SELECT s.event_name, s.shock_date, lower(n1.n_name) AS location, lowe
 pairs AS (SELECT DISTINCT p.event_name, p.shock_date, f.ticker FROM places p JOIN firms f
           ON contains(p.location, f.firm_region) OR f.firm_region = p.country),
 prices AS ({proxies.LONG_PRICES_SQL}),
-j AS (SELECT p.event_name, p.shock_date, x.date, CAST(x.date - p.shock_date AS INTEGER) AS offset_days,
-             {exact_mean_sql("x.close")} AS local_close, count(DISTINCT x.ticker) AS n_firms
+cal AS (SELECT date, row_number() OVER (ORDER BY date) AS day FROM (SELECT DISTINCT date FROM prices) d),
+j AS (SELECT p.event_name, p.shock_date, p.ticker, x.date, x.close, c.day
       FROM pairs p JOIN prices x ON x.ticker = p.ticker
-       AND x.date BETWEEN p.shock_date - INTERVAL 15 DAY AND p.shock_date + INTERVAL 15 DAY
-      GROUP BY 1, 2, 3, 4)
-SELECT event_name, shock_date, date, offset_days, round(local_close, 6) AS local_close,
-       round(local_close / lag(local_close) OVER (PARTITION BY event_name ORDER BY date) - 1, 6) AS local_ret,
-       n_firms
-FROM j""",
+       AND x.date BETWEEN p.shock_date - INTERVAL {LOCAL_DAYS} DAY AND p.shock_date + INTERVAL {LOCAL_DAYS} DAY
+      JOIN cal c ON c.date = x.date),
+r AS (SELECT *, CASE WHEN lag(day) OVER o = day - 1 THEN close / lag(close) OVER o - 1 END AS ret
+      FROM j WINDOW o AS (PARTITION BY event_name, ticker ORDER BY date))
+SELECT event_name, shock_date, date, CAST(date - shock_date AS INTEGER) AS offset_days,
+       round(avg(ret), 6) AS local_ret, count(DISTINCT ticker) AS n_firms
+FROM r GROUP BY event_name, shock_date, date""",
     "ffill_returns": f"""WITH p AS ({proxies.EVENT_PRICES_SQL}),
 span AS (SELECT ticker, min(date) AS lo, max(date) AS hi FROM p GROUP BY 1),
 grid AS (SELECT ticker, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM span),
@@ -240,12 +255,17 @@ SELECT ticker, date, round(close, 6) AS close, round(close_ffill, 6) AS close_ff
 FROM g""",
     "sector_impact": f"""WITH p AS (SELECT * FROM ({proxies.LONG_PRICES_SQL}) x
            WHERE date BETWEEN DATE '{SECTOR_RANGE[0]}' AND DATE '{SECTOR_RANGE[1]}'),
-f AS (SELECT ticker, date, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cf FROM p),
-r AS (SELECT ticker, cf / lag(cf) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM f),
-per AS (SELECT ticker, avg(ret) AS mean_ret FROM r GROUP BY 1),
-{_FIRMS}
-SELECT g.r_name AS sector, round(avg(per.mean_ret), 6) AS avg_return, count(*) AS n_firms
-FROM per JOIN firms f ON per.ticker = f.ticker JOIN region g ON g.r_regionkey = f.n_regionkey
-GROUP BY 1 ORDER BY 2 DESC NULLS LAST""",
+firms AS (SELECT s.s_suppkey AS ticker, g.r_name AS sector
+          FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region g ON g.r_regionkey = n.n_regionkey
+          WHERE trim(split_part(s.s_name || ', ' || n.n_name, ',', -1)) IN {SECTOR_STATES}),
+grid AS (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM p WHERE ticker IN (SELECT ticker FROM firms)) t
+         CROSS JOIN (SELECT DISTINCT date FROM p) d),
+f AS (SELECT grid.ticker, grid.date, last_value(p.close IGNORE NULLS) OVER (PARTITION BY grid.ticker ORDER BY grid.date
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cf
+      FROM grid LEFT JOIN p ON p.ticker = grid.ticker AND p.date = grid.date),
+r AS (SELECT ticker, date, cf / lag(cf) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM f),
+per AS (SELECT ticker, avg(ret) AS mean_ret FROM r
+        WHERE date BETWEEN DATE '{PEAK_DAYS[0]}' AND DATE '{PEAK_DAYS[1]}' GROUP BY 1)
+SELECT firms.sector, round(avg(mean_ret), 6) AS avg_return, count(mean_ret) AS n_firms
+FROM per JOIN firms USING (ticker) GROUP BY 1 ORDER BY 2 NULLS LAST""",
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,18 +59,43 @@ def get_session(master: str | None = None, app: str = "aftershock",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when that is unset (a local test
-    session) a fresh folder under the system temp dir is created and set.
+    Read from ``spark.checkpoint.dir``.  Where that is unset, a session on one
+    machine (``local[n]``: tests, the benchmark) gets a fresh temp folder; any
+    other session raises, since executors cannot see each other's folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="aftershock-ckpt-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="aftershock-ckpt-")  # one machine: the driver is the executor
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once a context.
+
+    The usual ``--py-files`` makes it unnecessary but does no harm.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_aftershock_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):  # not when it already runs from such an archive
+        name = os.path.join(tempfile.mkdtemp(prefix="aftershock-py-"), "aftershock.zip")
+        with zipfile.ZipFile(name, "w") as archive:
+            for folder, _, files in os.walk(package):
+                for file in sorted(files):
+                    if file.endswith(".py"):
+                        path = os.path.join(folder, file)
+                        archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+        sc.addPyFile(name)
+    sc._aftershock_shipped = True
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 

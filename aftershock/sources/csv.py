@@ -7,9 +7,9 @@ the text ``NA`` are read as NULL; bad values become NULL through
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +39,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def read_optional(spark: SparkSession, path: str | None, schema: T.StructType,
                   required: Iterable[str] = ()) -> DataFrame:
-    """An override table that may be absent: absent -> empty table."""
-    if not path or not os.path.exists(path):
+    """An override table that may be absent: absent -> empty table.
+    Spark's own reader decides, so the path may be on any store; any other
+    failure is raised."""
+    if not path:
         return spark.createDataFrame([], schema)
-    return require_columns(read_csv(spark, path, schema), required)
+    try:
+        found = read_csv(spark, path, schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return require_columns(found, required)
 
 
 MACRO_SCHEMA = "observation_date string, value string"

@@ -42,15 +42,29 @@ def test_flags_monotone(spark):
 def test_chrono_split_keeps_events_whole(spark):
     from aftershock.plans.modelling import chrono_group_split
     from aftershock.sources.tables import table
-    s = chrono_group_split(spark, SF01).join(
-        table(spark, SF01, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), "o_orderkey")
-    sides = s.groupBy("o_orderdate", "o_orderpriority").agg(F.countDistinct("split").alias("n"))
-    assert sides.where(F.col("n") > 1).count() == 0
-    last_train = s.where(F.col("split") == "train").agg(F.max("o_orderdate")).first()[0]
-    first_test = s.where(F.col("split") == "test").agg(F.min("o_orderdate")).first()[0]
+    orders = table(spark, SF01, "orders")
+    s = chrono_group_split(spark, SF01).join(orders.select(
+        "o_orderkey", "o_orderdate", F.when(F.col("o_custkey") % 97 != 0, F.col("o_custkey")).alias("event")), "o_orderkey")
+    assert s.count() == orders.count()  # the orders without an event are there
+    first = s.groupBy("event").agg(F.countDistinct("split").alias("n"), F.first("split").alias("split"),
+                                   F.min("o_orderdate").alias("d"))
+    assert first.where(F.col("n") > 1).count() == 0
+    last_train = first.where(F.col("split") == "train").agg(F.max("d")).first()[0]
+    first_test = first.where(F.col("split") == "test").agg(F.min("d")).first()[0]
     assert last_train <= first_test
 
 
+def test_splits_keep_null_groups_and_labels(spark):
+    from aftershock.operators.filters import prefer_within_group
+    from aftershock.operators.split import chrono_group_split, stratified_split
+    df = spark.createDataFrame([(1, "a", 1, "x"), (2, "a", 9, None), (3, "b", 2, "x"), (4, None, 3, None),
+                                (5, None, None, "y"), (6, "c", None, "y")], "id int, g string, t int, y string")
+    got = {r["id"]: r["split"] for r in chrono_group_split(df, ["g"], ["t"], 0.75).collect()}
+    assert got == {1: "train", 2: "train", 3: "train", 4: "train", 5: "train", 6: "test"}
+    assert stratified_split(df, "id", "y", 1).count() == 6
+    assert sorted(r["id"] for r in prefer_within_group(df, ["g"], F.col("y") == "y").collect()) == [1, 2, 3, 5, 6]
+
+
 def test_stratified_split_exact_share(spark):
     from aftershock.plans.modelling import stratified_split
     s = stratified_split(spark, SF01)

@@ -2,7 +2,7 @@ import json
 import os
 import tempfile
 
-from aftershock.streaming.facts_stream import ingest_company_facts
+from aftershock.streaming.facts_stream import _batch_writer, ingest_company_facts, landed_failures, landed_series
 
 
 def _doc(cik, val):
@@ -22,6 +22,10 @@ def test_stream_ingests_each_file_once(spark):
     ingest_company_facts(spark, landing, out, name=os.path.basename(base)).awaitTermination()
     # a second run over the same files adds nothing (checkpointed file source)
     ingest_company_facts(spark, landing, out, name=os.path.basename(base)).awaitTermination()
-    prov = spark.read.parquet(os.path.join(out, "provenance"))
-    assert sorted((r.cik, r.value) for r in prov.collect()) == [(1, 10.0), (2, 20.0)]
-    assert spark.read.parquet(os.path.join(out, "failures")).count() == 1
+    assert sorted((r.cik, r.value) for r in landed_series(spark, out).collect()) == [(1, 10.0), (2, 20.0)]
+    assert landed_failures(spark, out).count() == 1
+    # a second filing of filer 1, in a later batch, and a retry of that batch: still one row a filer and year
+    for _ in range(2):
+        _batch_writer(out)(spark.createDataFrame([("later", _doc(1, 11.0))], "doc string, json string"), 7)
+    got = landed_series(spark, out)
+    assert sorted((r.cik) for r in got.collect()) == [1, 2]
