@@ -2,37 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the Python workers, once a context.
-
-    The usual ``--py-files`` makes it unnecessary but does no harm.
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_aftershock_shipped", False):
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(package):  # not when it already runs from such an archive
-        name = os.path.join(tempfile.mkdtemp(prefix="aftershock-py-"), "aftershock.zip")
-        with zipfile.ZipFile(name, "w") as archive:
-            for folder, _, files in os.walk(package):
-                for file in sorted(files):
-                    if file.endswith(".py"):
-                        path = os.path.join(folder, file)
-                        archive.write(path, os.path.relpath(path, os.path.dirname(package)))
-        sc.addPyFile(name)
-    sc._aftershock_shipped = True
+from ..session import ship_package
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path may be anything that Spark's readers open."""
-    ship(spark)
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
