@@ -109,6 +109,17 @@ def _unpack(data: bytes) -> list[str]:
     return json.loads(zlib.decompress(data).decode("utf-8", "surrogatepass"))
 
 
+def _pack_numbers(parts: list[np.ndarray]) -> bytes:
+    """Numbers compressed byte plane by byte plane: most are small."""
+    flat = np.concatenate([np.zeros(0, dtype="<i4"), *parts]).astype("<i4")
+    return zlib.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 BLOCK_SCHEMA = ("block string, doc_ids array<long>, n_bytes array<long>, ends array<int>, words binary, "
                 "freqs binary, parts array<struct<part: int, words: binary>>")
 
@@ -124,21 +135,24 @@ def _blocks(batches, n_parts: int):
         order: dict[str, int] = {}
         words, freqs, ends = [], [], []
         for c in counts:
-            words += [order.setdefault(w, len(order)) for w in c]
-            freqs += c.values()
-            ends.append(len(words))
+            words.append(np.array([order.setdefault(w, len(order)) for w in c], dtype=np.int64))
+            freqs.append(np.fromiter(c.values(), dtype=np.int32, count=len(c)))
+            ends.append((ends[-1] if ends else 0) + len(c))
         # the block's words in order of their partition, and within it of first use
         hashed = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in order), dtype=np.int64, count=len(order)) % n_parts
         place = np.argsort(hashed, kind="stable")
         rank = np.empty(len(place), dtype=np.int32)
         rank[place] = np.arange(len(place), dtype=np.int32)
+        for k, own in enumerate(words):  # each document's numbers in ascending order, as differences
+            own = rank[own]
+            by_rank = np.argsort(own)
+            words[k], freqs[k] = np.diff(own[by_rank], prepend=np.int32(0)), freqs[k][by_rank]
         listed = list(order)
         cuts = np.searchsorted(hashed[place], np.arange(n_parts + 1))
         parts = [{"part": p, "words": _pack([listed[j] for j in place[a:b]])}
                  for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
         return pd.DataFrame([{"block": f"{task}-{number}", "doc_ids": list(ids), "n_bytes": list(sizes), "ends": ends,
-                              "words": zlib.compress(rank[np.array(words, dtype=np.int64)].tobytes(), 1),
-                              "freqs": zlib.compress(np.array(freqs, dtype=np.int32).tobytes(), 1), "parts": parts}])
+                              "words": _pack_numbers(words), "freqs": _pack_numbers(freqs), "parts": parts}])
 
     for pdf in batches:
         for i, text in zip(pdf["i"], pdf["t"]):
@@ -174,10 +188,11 @@ def _sum_blocks(batches):
         for r in pdf.itertuples(index=False):
             got = sorted(r.counts, key=lambda x: x["part"]) if r.counts is not None else []
             pieces = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(zlib.decompress(x["counts"]), np.int32) for x in got)])
-            words = np.frombuffer(zlib.decompress(r.words), np.int32)
-            running = np.concatenate([[0], np.cumsum(pieces[words].astype(np.int64) * np.frombuffer(zlib.decompress(r.freqs), np.int32))])
             ends = np.asarray(r.ends, dtype=np.int64)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            steps = np.cumsum(_unpack_numbers(r.words).astype(np.int64))  # differences start anew in each document
+            words = steps - np.repeat(np.concatenate([[0], steps])[starts], ends - starts)
+            running = np.concatenate([[0], np.cumsum(pieces[words].astype(np.int64) * _unpack_numbers(r.freqs))])
             yield pd.DataFrame({"doc_id": pd.array(list(r.doc_ids), dtype="Int64"), "n_bytes": list(r.n_bytes),
                                 "n_tokens": running[ends] - running[starts]})
 
