@@ -32,7 +32,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .html_pages import MARK, UNMARK, labelled_pages
 
-HEAVIEST_STRETCH = 8.0  # most that a stretch of boilerplate can cost
+HEAVIEST_STRETCH = 2.0  # most that a stretch of boilerplate can cost
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMING = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
