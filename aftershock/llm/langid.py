@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> Colum
     @pandas_udf("lang_pred string, score double, margin double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts],
-                            columns=["lang_pred", "score", "margin", "rejected"])
+                            columns=["lang_pred", "score", "margin", "rejected"]).astype({"lang_pred": object})
 
     return predict(F.col(text))
 

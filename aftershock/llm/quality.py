@@ -106,7 +106,8 @@ class Discriminant:
         for mean, whiten, constant in zip(self.means, self.whiten, self.constants):
             z = (x - mean) @ whiten.T
             log_density.append(constant - 0.5 * (z * z).sum(axis=1))
-        return 1.0 / (1.0 + np.exp(-np.clip(log_density[1] - log_density[0], -60.0, 60.0)))
+        # rounded: a row's last bits depend on the rows it is multiplied with
+        return np.round(1.0 / (1.0 + np.exp(-np.clip(log_density[1] - log_density[0], -60.0, 60.0))), 12)
 
 
 def fit_moments(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrinkage: float = SHRINKAGE) -> Discriminant:

@@ -95,7 +95,7 @@ def _batch_counts(batches):
             for text in part["t"]:
                 words = set(WORD.findall((text or "").lower()))
                 found.update({k for w in words for k in keys_of(w)})
-            yield pd.DataFrame({"k": list(found), "y": int(toxic), "n": list(found.values())})
+            yield pd.DataFrame({"k": pd.Series(list(found), dtype=object), "y": int(toxic), "n": pd.Series(list(found.values()), dtype="int64")})
 
 
 def mine_lexicon(sample: DataFrame) -> list[str]:
