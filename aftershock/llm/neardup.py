@@ -3,7 +3,7 @@
 1. A text's set holds 64-bit hashes of its distinct runs of five words.  Texts
    of equal sets are one class; only a class's least id goes on.
 2. ``BANDS`` bands of ``ROWS`` MinHash values each put a class into as many
-   buckets.  A pair of similarity 0.75 misses all buckets once in 200,000.
+   buckets.  A pair of similarity 0.75 misses all buckets once in 150,000.
 3. The ``BANDS * ROWS`` MinHash values are folded into an odd sketch: each
    toggles one of ``SKETCH_BITS`` bits, equal values cancel in the XOR of two
    sketches, and its population count estimates how many differ.  A candidate
@@ -11,12 +11,20 @@
    the threshold, is dropped.
 4. What remains is confirmed on the full sets of both whole texts.
 
-Candidates of a bucket are not all its pairs: first every member is compared
-with the bucket's least one, and components are formed.  A bucket whose
-members that have not been a centre lie in one component is done, since no
-further link could join anything.  Any other bucket is taken up again with
-more members as centres, each compared with all members of other components,
-until every bucket is done.  A bucket of n copies costs n comparisons.
+Candidates of a bucket are not all its pairs, since links matter only as far
+as they join components:
+
+* every member is compared with the bucket's least one, and components are
+  formed; a bucket whose other members lie in one component is done;
+* in a bucket with at most ``SMALL`` other members, all pairs of about equal
+  size from different components are compared, and it is done;
+* the members of larger undone buckets, such as heavily edited copies of one
+  text, are compared by an exact rule instead.  Order all shingles by their
+  frequency among these members: two sets that have 75 % of their union in
+  common share one of the smaller set's rarest seventh and of the larger one's
+  rarest quarter, and the first they share has enough shingles after it in
+  both.  A copy with too much of its own shares none of its rarest shingles
+  with another component, so what is left to compare is little.
 
 Defined results: null texts and texts without a word have an empty set and are
 linked with nothing; rows of one id are one document; a row without an id is
@@ -37,10 +45,10 @@ from .components import components
 
 SHINGLE = 5            # words of a shingle
 PERCENT = 75           # least share of the union that linked sets have in common
-BANDS, ROWS = 32, 4
-SKETCH_BITS = 512
-LEAST_ESTIMATE = 0.5   # of the sketches
-CENTRES = 16           # members of an undone bucket that become centres in its second round; four times as many in each later one
+BANDS, ROWS = 44, 5
+SKETCH_BITS = 1024
+LEAST_ESTIMATE = 0.55  # of the sketches
+SMALL = 12             # members of a bucket, all pairs of which are compared
 CHUNK = 1 << 20        # bytes of text hashed at once
 
 _U = np.uint64
@@ -56,9 +64,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odd factors of a shingle's words; factors and shifts of the MinHash functions."""
     rng = np.random.default_rng(20)
     draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * _U(2) + _U(1)
-    return draw(SHINGLE), draw(BANDS * ROWS), draw(BANDS * ROWS)
+    return draw(SHINGLE), draw(BANDS * ROWS).astype(np.uint32), draw(BANDS * ROWS).astype(np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -119,13 +128,14 @@ def shingle_sets(texts) -> list[np.ndarray]:
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of the bands, and the odd sketch as 64-bit words."""
     _, factors, shifts = _constants()
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for a in range(0, len(hashes), 4096):
-        part = hashes[a:a + 4096]
+    high = (hashes >> _U(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for a in range(0, len(high), 1024):
+        part = high[a:a + 1024]
         least = np.minimum(least, (factors[:, None] * part[None, :] + shifts[:, None]).min(axis=1))
-    mixed = _mix(least ^ factors)
-    bands = _mix(mixed.reshape(BANDS, ROWS).cumsum(axis=1, dtype=np.uint64)[:, -1] + np.arange(BANDS, dtype=np.uint64))
-    places = (_mix(mixed + shifts) >> _U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    numbered = _mix(least.astype(np.uint64) | np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) << _U(32))
+    bands = _mix(numbered.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64))
+    places = (numbered >> _U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
     odd = np.bincount(places, minlength=SKETCH_BITS).astype(np.uint8) & 1
     return bands.view(np.int64), np.packbits(odd).view(np.int64)
 
@@ -170,10 +180,11 @@ def most_differing_bits() -> int:
 
 
 def sketch_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs a, b whose sketches do not rule a link out."""
-    sa = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    sb = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(sb, "b").join(sa, "a").where(_differing_bits() <= most_differing_bits()).select("a", "b")
+    """Pairs a, b whose set sizes and sketches do not rule a link out."""
+    sa = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    sb = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    near = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (_differing_bits() <= most_differing_bits())
+    return pairs.join(sb, "b").join(sa, "a").where(near).select("a", "b")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -193,50 +204,93 @@ def confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFr
     return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long").distinct()
 
 
-def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """node and comp after the links; ``labels`` has the nodes that are not their own component."""
-    if labels is None:
-        return materialize(components(links), "labels")
-    a = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
-    both = a.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    moved = components(both.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    old = labels.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("c")), "comp", "left").select("node", F.coalesce("c", "comp").alias("comp"))
-    return materialize(old.union(moved), "labels")
+class _Labels:
+    """Each rep's component: node and comp of those that are not their own."""
+
+    def __init__(self, links: DataFrame):
+        self.rows = materialize(components(links), "labels")
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """Add comp to rows with rep."""
+        return rows.join(self.rows.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    def add(self, links: DataFrame) -> None:
+        """Join components by further links (a, b)."""
+        links = materialize(links, "links")
+        if links.isEmpty():
+            return
+        for end in ("a", "b"):
+            comp = self.rows.select(F.col("node").alias(end), F.col("comp").alias("c"))
+            links = links.join(comp, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        moved = components(links)
+        old = self.rows.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("c")), "comp", "left")
+        self.rows = materialize(old.select("node", F.coalesce("c", "comp").alias("comp")).union(moved), "labels")
+
+
+def _undone(members: DataFrame, labels: _Labels) -> DataFrame:
+    """The members, their comp and their bucket's number of members, where they lie in several components."""
+    now = labels.of(members)
+    mixed = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members"))
+    return materialize(now.join(mixed.where("x < y").select("bucket", "members"), "bucket"), "undone")
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of a bucket's members from different components whose sizes allow a link."""
+    other = members.select("bucket", F.col("rep").alias("c"), F.col("comp").alias("cc"), F.col("n").alias("nc"))
+    near = 100 * F.least("n", "nc") >= PERCENT * F.greatest("n", "nc")
+    met = members.join(other, "bucket").where((F.col("rep") < F.col("c")) & (F.col("comp") != F.col("cc")) & near)
+    return met.select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
+
+
+def _rare_pairs(reps: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Distinct pairs a < b of ``reps`` (rep, comp) from different components that the order of shingles does not rule out."""
+
+    def spread(batches):
+        for pdf in batches:
+            sets = shingle_sets(pdf["t"])
+            yield pd.DataFrame({"rep": pdf["i"], "n": [len(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
+    texts = texts.join(reps.select(F.col("rep").alias("i")), "i", "left_semi")
+    held = texts.mapInPandas(spread, "rep long, n long, s array<long>").select("rep", "n", F.explode("s").alias("h"))
+    held = materialize(held, "shingles")
+    often = held.groupBy("h").agg(F.count("*").alias("times"))
+    order = F.row_number().over(Window.partitionBy("rep").orderBy("times", "h")) - 1  # a text's shingles
+    first = held.join(often, "h").withColumn("at", order)
+    first = first.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)) & (F.col("times") > 1))
+    first = materialize(first.select("rep", "n", "h", "at").join(reps, "rep"), "rare-shingles")
+    # x is the smaller set: of its n shingles, 2 * PERCENT / (100 + PERCENT) are common at least
+    x = first.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT)))
+    x = x.select("h", *(F.col(c).alias(f"x_{c}") for c in ("rep", "comp", "n", "at")))
+    common = 1 + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("n") - F.col("at") - 1)  # at most
+    enough = (100 + PERCENT) * common >= PERCENT * (F.col("x_n") + F.col("n"))
+    met = x.join(first, "h").where((F.col("x_n") <= F.col("n")) & (F.col("x_comp") != F.col("comp")) & enough)
+    return met.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct()
 
 
 def link_components(sets: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(classes, labels): key and rep of each set; node and comp of each rep that is not its own component."""
     held = sets.where(F.col("n") > 0).where(F.col("i").isNotNull())
     classes = materialize(held.groupBy("key").agg(F.min("i").alias("rep")), "classes")
-    reps = held.join(classes, "key").where(F.col("i") == F.col("rep")).select("rep", "bands", "sketch")
+    reps = held.join(classes, "key").where(F.col("i") == F.col("rep")).select("rep", "n", "bands", "sketch")
     reps = materialize(reps, "class-sketches")
-    sketches = reps.select("rep", "sketch")
-    rows = reps.select("rep", F.explode("bands").alias("bucket"))
+    sketches = reps.select("rep", "n", "sketch")
+    rows = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    members = materialize(rows.join(shared.select("bucket", "lo"), "bucket"), "buckets")
-
-    pairs = members.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = materialize(sketch_filter(pairs, sketches), "pairs")
-    labels = _relabel(None, confirm(tested, docs, doc_id, text))
-
-    # members that have not been their bucket's centre, in buckets where they lie in several components
-    left = members.where("rep <> lo").select("bucket", "rep")
-    centres = CENTRES
-    while True:
-        now = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
-        undone = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-        now = materialize(now.join(undone, "bucket"), "undone")
-        if now.isEmpty():
-            return classes, labels
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep"))
-        chosen = now.withColumn("k", order).where(F.col("k") <= centres).drop("k")
-        met = now.join(chosen.select("bucket", F.col("rep").alias("c"), F.col("comp").alias("cc")), "bucket").where("comp <> cc")
-        pairs = met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        pairs = materialize(sketch_filter(pairs.join(tested, ["a", "b"], "left_anti"), sketches), "pairs")
-        labels = _relabel(labels, confirm(pairs, docs, doc_id, text))
-        tested = materialize(tested.union(pairs), "tested")
-        left = now.join(chosen.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-        centres *= 4
+    # the least member of each bucket is the first centre, and has met all others
+    members = materialize(rows.join(shared.select("bucket", "lo"), "bucket").where("rep <> lo"), "buckets")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return confirm(materialize(sketch_filter(pairs, sketches), "pairs"), docs, doc_id, text)
+
+    labels = _Labels(links(members.select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()))
+
+    undone = _undone(members.select("bucket", "rep", "n"), labels)
+    labels.add(links(_pairs(undone.where(F.col("members") <= SMALL))))
+    large = undone.where(F.col("members") > SMALL).select("rep").distinct()
+    if not large.isEmpty():
+        labels.add(links(_rare_pairs(materialize(labels.of(large).select("rep", "comp"), "large"), docs, doc_id, text)))
+    return classes, labels.rows
 
 
 def neardup_table(docs: DataFrame) -> DataFrame:
