@@ -31,16 +31,6 @@ def pct_change_expr(cur, prev) -> Column:
     return ieee_divide(cur, prev) - F.lit(1.0)
 
 
-def clamp(c, lo: float, hi: float) -> Column:
-    """``min(max(c, lo), hi)``."""
-    return F.least(F.greatest(_c(c), F.lit(lo)), F.lit(hi))
-
-
-def round_half_even(c, digits: int = 0) -> Column:
-    """Both reference languages round half to even."""
-    return F.bround(_c(c), digits)
-
-
 def exact_mean(c, scale: int = 6) -> Column:
     """Mean of a column of fixed-point values (prices) that does not depend
     on summation order: the sum is exact in DECIMAL(38, scale), then one
