@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
 
+BATCH_ROWS = 1_000  # rows that a Python worker gets at once: whole texts, some very long
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path may be anything that Spark's readers open."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -153,11 +153,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 # ------------------------------------------------------------------- Spark
 
 
+def pieces(batches, rows: int = 250):
+    """Parts of the batches of so few rows that their texts' sets fit in little memory."""
+    for pdf in batches:
+        for a in range(0, len(pdf), rows):
+            yield pdf.iloc[a:a + rows]
+
+
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """i, n (set size), key (digest of the set), bands and sketch of every whole text."""
 
     def sign(batches):
-        for pdf in batches:
+        for pdf in pieces(batches):
             sets = shingle_sets(pdf["t"])
             rows = [signature(s) if len(s) else (None, None) for s in sets]
             yield pd.DataFrame({
@@ -191,7 +198,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFr
     """Pairs a, b whose full sets are similar enough."""
 
     def check(batches):
-        for pdf in batches:
+        for pdf in pieces(batches):
             known: dict[int, np.ndarray] = {}  # a centre's set, for the batch
             new = pdf.drop_duplicates("a")
             known.update(zip(new["a"], shingle_sets(new["ta"])))
@@ -246,7 +253,7 @@ def _rare_pairs(reps: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Dat
     """Distinct pairs a < b of ``reps`` (rep, comp) from different components that the order of shingles does not rule out."""
 
     def spread(batches):
-        for pdf in batches:
+        for pdf in pieces(batches):
             sets = shingle_sets(pdf["t"])
             yield pd.DataFrame({"rep": pdf["i"], "n": [len(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
 
