@@ -31,6 +31,7 @@ QUERY_BLOCK = 512   # queries in a block
 RUN = 512           # candidates between two looks at the threshold
 HEAD = 0.25         # share of the coordinates in the partial product
 EXACT = 2.0 ** 53   # integers below are exact as doubles
+DENSE = 0.02        # share of a run's pairs from which one matrix product is cheaper
 
 
 def _outer_products(batches, width: int):
@@ -63,11 +64,18 @@ class Search:
         y = x.astype(np.float64) @ self.axes
         return (y[:, :self.head], np.sqrt((y[:, self.head:] ** 2).sum(axis=1)), np.sqrt((y * y).sum(axis=1)))
 
-    def exact(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Row by row integer products."""
-        if np.abs(a).max(initial=0) * 1.0 * np.abs(b).max(initial=0) * a.shape[1] < 2.0 ** 62:
-            return np.einsum("ij,ij->i", a, b)
-        return (a.astype(object) * b.astype(object)).sum(axis=1)
+    def exact(self, q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """Integer products of the pairs q[row], x[col].
+
+        As doubles all sums are exact below 2 ** 53; one matrix product is
+        then cheaper than many pairs.  Larger components go pair by pair.
+        """
+        most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+        if most < EXACT and len(row) > DENSE * len(q) * len(x):
+            return (q.astype(np.float64) @ x.astype(np.float64).T)[row, col].astype(np.int64)
+        if most < 2.0 ** 62:
+            return np.einsum("ij,ij->i", q[row], x[col])
+        return (q[row].astype(object) * x[col].astype(object)).sum(axis=1)
 
     def scan(self, qids, q, floors, ids, x):
         """For each query: (ids, scores) of its best k in the block that reach its floor.
@@ -89,7 +97,9 @@ class Search:
             row, col = np.nonzero(bound >= (floors - slack)[live][:, None])
             other = qids[live[row]] != ids[a + col]
             row, col = row[other], col[other]
-            scores = self.exact(q[live[row]], x[a + col])
+            scores = self.exact(q[live], x[a:b], row, col)
+            reach = scores >= floors[live[row]]
+            row, col, scores = row[reach], col[reach], scores[reach]
             cuts = np.searchsorted(row, np.arange(len(live) + 1))
             for j, k in enumerate(live):
                 if cuts[j] == cuts[j + 1]:

@@ -63,7 +63,7 @@ def test_scan_prunes_but_loses_nothing(points):
     x, ids = x[order], order.astype(np.int64)
     search = topk.Search(np.linalg.eigh((x.T @ x).astype(float))[1][:, ::-1], 3)
     calls = []
-    exact, search.exact = search.exact, lambda a, b: calls.append(len(a)) or exact(a, b)
+    exact, search.exact = search.exact, lambda q, x, row, col: calls.append(len(row)) or exact(q, x, row, col)
     found = search.scan(ids[:40], x[:40], np.full(40, -np.inf), ids, x)
     for q, (i, s) in enumerate(found):
         assert [(int(a), int(b)) for a, b in zip(i, s)] == brute(x, ids, [q], 3)[int(ids[q])]
