@@ -40,7 +40,8 @@ DIMS = 8              # projections; even, so that the chi-square has a closed f
 SURE = 0.985          # mass of the chi-square at which a search stops
 SAMPLE = 20_000       # vectors the top of the tree is fitted on, about
 BLOCK = 4096          # vectors in a leaf of the top tree, about, and in a block
-LEAF = 32             # vectors in a leaf of a block's tree
+LEAF = 32             # vectors in a leaf of a block's tree, at most
+FIRST_LEAVES = 4      # leaves looked at before the first stopping test; then twice as many each time
 BOXES = 1024          # blocks whose boxes a group of queries is tested against at once
 QUERY_GROUP = 256     # queries that travel together
 SEED = 5
@@ -144,19 +145,30 @@ class Block:
         length = float(np.sqrt(q @ q))
         gap = np.maximum(0.0, np.maximum(self.low - p, p - self.high))
         away = (gap * gap).sum(axis=1)
-        ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for leaf in np.argsort(away, kind="stable"):
-            if floor > -np.inf and away[leaf] > ratio * max(0.0, 2 * greatest * (greatest - floor / length)) * (1 + 1e-9) + 1e-9:
-                break
-            a, b = (self.ends[leaf - 1] if leaf else 0), self.ends[leaf]
-            other = self.ids[a:b] != qid
-            ids = np.concatenate([ids, self.ids[a:b][other]])
-            scores = np.concatenate([scores, (self.x[a:b] * q).sum(axis=1)[other]])
-            if len(ids) >= k:
-                at = best(scores, ids, k)
-                ids, scores = ids[at], scores[at]
-                floor = max(floor, float(scores[-1]))
-        return ids, scores
+        order = np.argsort(away, kind="stable")
+        starts = np.concatenate([[0], self.ends[:-1]])
+        at, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        done, step = 0, FIRST_LEAVES
+        while done < len(order):
+            leaves = order[done:done + step]
+            if floor > -np.inf:  # the leaves are in order of distance: those beyond the test, and all after, are left
+                leaves = leaves[away[leaves] <= ratio * max(0.0, 2 * greatest * (greatest - floor / length)) * (1 + 1e-9) + 1e-9]
+                if not len(leaves):
+                    break
+            rows = starts[leaves][:, None] + np.arange(LEAF)
+            rows = rows[rows < self.ends[leaves][:, None]]
+            rows = rows[self.ids[rows] != qid]
+            at, scores = np.concatenate([at, rows]), np.concatenate([scores, self.x[rows] @ q])
+            if len(at) >= k:
+                kth = float(np.partition(scores, len(scores) - k)[len(scores) - k])
+                near = scores >= kth - 1e-9 * (1 + abs(kth))
+                at, scores = at[near], scores[near]
+                floor = max(floor, kth)
+            done, step = done + step, 2 * step
+        # a matrix product's last bits depend on its neighbours: equal vectors must score alike
+        ids, scores = self.ids[at], (self.x[at] * q).sum(axis=1)
+        chosen = best(scores, ids, k)
+        return ids[chosen], scores[chosen]
 
 
 BLOCK_SCHEMA = ("block long, ids binary, x binary, ends binary, low binary, high binary, "
