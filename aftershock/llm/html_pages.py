@@ -66,8 +66,24 @@ def _junk(tag: str, name: str, k: int) -> str:
     return f"<{tag}{names}>{inner}</{tag}>"
 
 
+def _long_gaps() -> list[str]:
+    """Pages whose boilerplate is long for what it divides: a block inside the
+    article, of more words than the part that follows it; an advert before a last
+    short list; a menu between a slogan, which no name tells from main text, and
+    the article."""
+    pages = []
+    for k, (start, end) in enumerate(LAYOUTS):
+        block = f'<div class="{("comments", "related")[k % 2]}">' + "".join(f"<p>{_text(k + j, 15)}</p>" for j in range(9)) + "</div>"
+        pages.append(f"<body>{start}{_main(0)}{_main(1)}{block}{_main(0)}{_main(2)}{end}{_junk('footer', '', k)}</body>")
+        advert = f'<div class="advertisement"><p>{_text(k, 10 + k % 3)}</p></div>'
+        last = f"{MARK}<ul><li>{_text(k, 2 + k % 2)}</li><li>{_text(k, 2)}</li></ul>{UNMARK}"
+        pages.append(f"<body>{start}{_main(k)}{advert}{last}{end}{_junk('footer', '', k)}</body>")
+        pages.append(f'<body><div><p>{_text(k, 8 + k)}</p></div><nav>{_links(k, 60 + 10 * k)}</nav>{start}{_main(k)}{_main(k + 1)}{end}</body>')
+    return pages
+
+
 def labelled_pages() -> list[str]:
-    """Two pages for each name and element, over all layouts in turn."""
+    """Two pages for each name and element, over all layouts in turn, and those of long gaps."""
     pages = []
     kinds = [("div", n) for n in NAMES] + [("section", n) for n in NAMES[::3]] + [(e, "") for e in ELEMENTS]
     kinds = [kind for kind in kinds for _ in range(2)]
@@ -79,4 +95,4 @@ def labelled_pages() -> list[str]:
                      f"{junk}<div>{_links(k, 5)}</div>{_junk('footer', '', k)}</body></html>")
         if k % 8 == 0:  # a heading block of the article itself is main text
             pages.append(f"<body>{_junk('header', '', k)}<article>{MARK}<header><h1>{_text(k, 7)}</h1></header>{UNMARK}{_main(k)}</article></body>")
-    return pages
+    return pages + _long_gaps()

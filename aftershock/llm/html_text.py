@@ -5,9 +5,11 @@ A page is a sequence of tags and text runs.  Each word of a run scores between
 class, id or role makes the run boilerplate with a chance of its own, and a
 word's score is twice the chance that none does, less one.  Each tag costs a
 little, the more the oftener it stands outside main text.  Both weights are learned
-from labelled pages.  One linear scan finds the contiguous stretch of largest
-sum; the text is that of the stretch's runs with a positive score, so an
-advert inside an article is left out without cutting the article in two.
+from labelled pages, and so is the share of its cost that a word or tag of
+boilerplate has in the scan.  One linear scan finds the contiguous stretch of largest
+sum, in which a gap costs the more the longer it is, without a bound; the text
+is that of the stretch's runs with a positive score, so an advert inside an
+article is left out, and cuts the article in two only if it outweighs a part.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by line feeds in page order, empty ones
@@ -22,8 +24,9 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,8 @@ from pyspark.sql.functions import pandas_udf
 
 from .html_pages import MARK, UNMARK, labelled_pages
 
-HEAVIEST_STRETCH = 2.0  # most that a stretch of boilerplate can cost
+GAPS = (1.0, 0.5, 0.25, 0.125, 0.0625)  # shares of its cost that boilerplate can have in the scan
+GAP = 0.25  # where no labelled page tells
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMING = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -133,6 +137,7 @@ class Extractor:
     chances: dict[str, float]
     costs: dict[str, float]
     cost: float  # of a tag not seen
+    gap: float = GAP  # share of its cost that boilerplate has in the scan
 
     def word_score(self, features: frozenset[str]) -> float:
         main = 1.0
@@ -140,12 +145,11 @@ class Extractor:
             main *= 1.0 - self.chances.get(f, 0.0)
         return 2.0 * main - 1.0
 
-    def extract(self, page: str | None) -> str:
-        if not page:
-            return ""
+    def weighed(self, page: Iterable[Run]) -> list[tuple[Run, float, float]]:
+        """Each run, its word score and its weight in the scan."""
         known: dict[frozenset[str], float] = {}
-        seq: list[tuple[Run, float, float]] = []  # run, its word score, its weight in the scan
-        for run in runs(page):
+        seq = []
+        for run in page:
             if run.tag:
                 seq.append((run, 0.0, -self.costs.get(run.tag, self.cost)))
             elif n := len(run.text.split()):
@@ -155,7 +159,13 @@ class Extractor:
                 seq.append((run, score, n * score))
             else:
                 seq.append((run, 1.0, 0.0))
-        a, b = best_stretch([w for _, _, w in seq])
+        return seq
+
+    def extract(self, page: str | None) -> str:
+        if not page:
+            return ""
+        seq = self.weighed(runs(page))
+        a, b = best_stretch([w for _, _, w in seq], self.gap)
         blocks: dict[int, list[str]] = {}
         for run, score, _ in seq[a:b]:
             if not run.tag and score > 0:
@@ -164,49 +174,61 @@ class Extractor:
         return "\n".join(x for x in lines if x)
 
 
-def best_stretch(weights: list[float]) -> tuple[int, int]:
-    """First and one beyond the last of the contiguous stretch of largest positive sum.
-
-    A stretch of negative weights costs ``HEAVIEST_STRETCH`` at most: two long
-    pieces of main text belong together however much stands between them.
-    """
-    best = total = spent = 0.0
+def best_stretch(weights: list[float], gap: float = GAP) -> tuple[int, int]:
+    """First and one beyond the last of the contiguous stretch of largest positive
+    sum, where negative weights count ``gap`` times: the first of the shortest."""
+    best = total = 0.0
     start = first = end = 0
     for k, w in enumerate(weights):
-        if w < 0:
-            cost = min(-w, HEAVIEST_STRETCH - spent)
-            spent += cost
-            total -= cost
-        elif w > 0:
-            spent = 0.0
-            total += w
+        total += w if w > 0 else w * gap
         if total <= 0:
-            total, start, spent = 0.0, k + 1, 0.0
+            total, start = 0.0, k + 1
         elif total > best:
             best, first, end = total, start, k + 1
     return first, end
 
 
+def _labelled_runs(page: str) -> list[tuple[Run, bool]]:
+    """Runs without the marks, and whether they are main text."""
+    out, inside = [], False
+    for run in runs(page):
+        for part in [""] if run.tag else re.split(f"([{MARK}{UNMARK}])", run.text):
+            if run.tag:
+                out.append((run, inside))
+            elif part in (MARK, UNMARK):
+                inside = part == MARK
+            elif part:
+                out.append((replace(run, text=part), inside))
+    return out
+
+
+def _misplaced(weighed: list[tuple[list[tuple[Run, float, float]], list[bool]]], gap: float) -> int:
+    """Words of main text left out and of boilerplate taken in."""
+    wrong = 0
+    for seq, inside in weighed:
+        a, b = best_stretch([w for _, _, w in seq], gap)
+        wrong += sum(len(run.text.split()) for k, (run, score, _) in enumerate(seq)
+                     if not run.tag and (a <= k < b and score > 0) != inside[k])
+    return wrong
+
+
 def train(pages: list[str], rounds: int = 200) -> Extractor:
     """Learn from pages whose main text stands between MARK and UNMARK.
 
     Expectation maximisation: a boilerplate run is shared out among its
     features by their chances; a feature's chance is its shares over its runs.
+    Of ``GAPS``, the one that misplaces the fewest words; of equals, the largest.
     """
+    labelled = [_labelled_runs(page) for page in pages]
     rows: Counter[tuple[frozenset[str], bool]] = Counter()
     inside_tags: Counter[str] = Counter()
     all_tags: Counter[str] = Counter()
-    for page in pages:
-        inside = False
-        for run in runs(page):
-            if run.tag:
-                all_tags[run.tag] += 1
-                inside_tags[run.tag] += inside
-            for part in re.split(f"([{MARK}{UNMARK}])", run.text):
-                if part in (MARK, UNMARK):
-                    inside = part == MARK
-                elif part.strip():
-                    rows[run.features, inside] += 1
+    for run, inside in chain.from_iterable(labelled):
+        if run.tag:
+            all_tags[run.tag] += 1
+            inside_tags[run.tag] += inside
+        elif run.text.strip():
+            rows[run.features, inside] += 1
     uses: Counter[str] = Counter()
     for (features, _), n in rows.items():
         uses.update(dict.fromkeys(features, n))
@@ -220,7 +242,9 @@ def train(pages: list[str], rounds: int = 200) -> Extractor:
                     shares[f] += n * chances[f] / max(total, 1e-12)
         chances = {f: min(shares[f] / (uses[f] + 0.1), 0.995) for f in chances}
     costs = {t: 0.02 + 0.3 * (1 - inside_tags[t] / c) for t, c in all_tags.items()}
-    return Extractor({f: round(q, 6) for f, q in chances.items() if q > 1e-4}, costs, 0.1)
+    model = Extractor({f: round(q, 6) for f, q in chances.items() if q > 1e-4}, costs, 0.1)
+    weighed = [(model.weighed(run for run, _ in page), [inside for _, inside in page]) for page in labelled]
+    return replace(model, gap=min(GAPS, key=lambda gap: _misplaced(weighed, gap)))
 
 
 def main_text(pages: DataFrame, page: str = "html", labelled: list[str] | None = None) -> Column:

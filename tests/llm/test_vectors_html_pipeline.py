@@ -158,6 +158,30 @@ def test_best_stretch_equals_brute_force():
     assert html_text.best_stretch([20, *[-1] * 40, 20]) == (0, 42)  # the gap costs no more than its most
 
 
+def test_scan_equals_brute_force_with_gaps():
+    rng = np.random.default_rng(5)
+    for gap in html_text.GAPS:
+        for _ in range(60):
+            w = rng.integers(-3, 4, rng.integers(1, 25)).astype(float).tolist()
+            costs = [x if x > 0 else gap * x for x in w]
+            a, b = html_text.best_stretch(w, gap)
+            assert sum(costs[a:b]) == max([0.0] + [sum(costs[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)])
+
+
+def test_a_long_gap_cuts_off_a_slogan(extractor):
+    article = f"<article><p>{'word ' * 80}</p></article>"
+    for n, cut in ((200, True), (3, False)):
+        page = f'<body><div class="tagline"><p>a slogan of a dozen words that no name tells from the text</p></div><nav>{"menu " * n}</nav>{article}</body>'
+        assert extractor.extract(page).startswith("word") == cut
+    assert html_text.GAPS[0] >= extractor.gap > html_text.GAPS[-1]
+
+
+def test_a_block_within_the_article_does_not_cut_it(extractor):
+    part = f"<p>{'word ' * 40}</p>"
+    page = f'<article>{part}<div class="related"><p>{"other " * 60}</p></div>{part}</article>'
+    assert extractor.extract(page).split() == ["word"] * 80
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>some words here</p>", 3), (2, None, None, 4), (None, "u", "", 5), (1, "u", "<p>some words here</p>", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
