@@ -6,6 +6,8 @@ common on public sites.  ``MARK`` and ``UNMARK`` stand around main text.
 
 from __future__ import annotations
 
+import re
+
 MARK, UNMARK = "", ""
 
 #: where main text is found: opening and closing tags
@@ -21,7 +23,7 @@ LAYOUTS = (
 )
 #: elements that are never main text
 ELEMENTS = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "address")
-#: words in a class, an id or a role that mark what is never main text
+#: names by their letters, of a class, an id or a role, that mark what is not main text
 NAMES = (
     "ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "promotion",
     "nav", "navigation", "navbar", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar",
@@ -29,7 +31,19 @@ NAMES = (
     "sidebar", "side", "aside", "widget", "related", "recommended", "more", "tags", "share", "sharing", "social",
     "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login",
     "comment", "comments", "reply", "replies", "respond", "discussion", "feedback", "search", "form", "skip",
+    "adbanner", "adbox", "adcontainer", "adslot", "adunit", "adwrapper", "bannerad", "sponsoredcontent", "sponsoredlinks",
+    "mainnav", "sitenav", "topnav", "sidenav", "navmenu", "mainmenu", "topmenu", "sidemenu", "mainnavigation", "sitenavigation", "mwnavigation",
+    "siteheader", "globalheader", "sitefooter", "pagefooter", "globalfooter", "colophon", "contentinfo", "complementary", "copyrightnotice", "legalnotice",
+    "sidebarleft", "sidebarright", "leftsidebar", "rightsidebar", "primarysidebar", "widgetarea", "widgettext", "tagcloud", "posttags",
+    "relatedposts", "relatedarticles", "relatedlinks", "relatedcontent", "readmore", "morelinks", "recommendedarticles",
+    "sharebuttons", "sharelinks", "sociallinks", "socialshare", "socialmedia", "socialicons",
+    "cookienotice", "cookiebanner", "cookieconsent", "cookiebar", "newslettersignup", "signupform", "loginform", "searchform", "searchbox",
+    "commentlist", "commentform", "commentsection", "commentsarea", "postcomments", "skiplink", "skipnav", "backtotop",
 )
+#: names of that list that are also what a section of an article can be about
+TOPICS = ("discussion", "legal", "feedback", "search", "form", "notice", "more", "side", "menu", "navigation", "alert", "consent", "social",
+          "promotion", "copyright", "reply", "bottom", "header", "tags")
+TOPIC_ID = re.compile(f' id="({"|".join(TOPICS)})"')
 WORDS = "the report says that most people who live near the river have moved to higher ground since the flood of last year".split()
 
 
@@ -66,6 +80,21 @@ def _junk(tag: str, name: str, k: int) -> str:
     return f"<{tag}{names}>{inner}</{tag}>"
 
 
+def _named_sections() -> list[str]:
+    """Articles with main text in sections whose ids are also names of boilerplate,
+    and with boilerplate whose id is no topic's name."""
+    pages = []
+    for k, name in enumerate(TOPICS * 2):
+        start, end = LAYOUTS[:2][k % 2]
+        section = ("section", "div")[k // len(TOPICS)]
+        pages.append(f'<body class="{NAMES[k]}">{_junk("nav", "", k)}{start}{_main(k)}<{section} id="{name}">{_main(k + 1)}</{section}>{_main(k + 2)}'
+                     f'{_junk("div", NAMES[3 * k], 2 * k + 1)}{end}{_junk("footer", "", k)}</body>')
+    for k, name in enumerate(n for n in NAMES if n not in TOPICS):
+        start, end = LAYOUTS[:2][k % 2]
+        pages.append(f"<body>{start}{_main(k)}{_junk('div', name, 2 * k)}{_main(k + 1)}{end}{_junk('footer', '', k)}</body>")
+    return pages
+
+
 def _long_gaps() -> list[str]:
     """Pages whose boilerplate is long for what it divides: a block inside the
     article, of more words than the part that follows it; an advert before a last
@@ -83,7 +112,8 @@ def _long_gaps() -> list[str]:
 
 
 def labelled_pages() -> list[str]:
-    """Two pages for each name and element, over all layouts in turn, and those of long gaps."""
+    """Two pages for each name and element, over all layouts in turn (inside an
+    article, a topic's name on boilerplate is a class), and those of named sections and of long gaps."""
     pages = []
     kinds = [("div", n) for n in NAMES] + [("section", n) for n in NAMES[::3]] + [(e, "") for e in ELEMENTS]
     kinds = [kind for kind in kinds for _ in range(2)]
@@ -91,8 +121,11 @@ def labelled_pages() -> list[str]:
         start, end = LAYOUTS[k % len(LAYOUTS)]
         junk, other = _junk(tag, name, k), _junk(*kinds[(7 * k + 3) % len(kinds)], k + 1)
         inside = junk if k % 3 else _junk(tag, name, k + 2)
-        pages.append(f"<html><head><title>{_text(k, 5)}</title></head><body>{junk}{other}{start}{_main(k)}{inside}{_main(k + 1)}{other}{end}"
+        within = other
+        if k % len(LAYOUTS) < 2:
+            inside, within = (TOPIC_ID.sub(r' class="\1"', x) for x in (inside, other))
+        pages.append(f"<html><head><title>{_text(k, 5)}</title></head><body>{junk}{other}{start}{_main(k)}{inside}{_main(k + 1)}{within}{end}"
                      f"{junk}<div>{_links(k, 5)}</div>{_junk('footer', '', k)}</body></html>")
         if k % 8 == 0:  # a heading block of the article itself is main text
             pages.append(f"<body>{_junk('header', '', k)}<article>{MARK}<header><h1>{_text(k, 7)}</h1></header>{UNMARK}{_main(k)}</article></body>")
-    return pages + _long_gaps()
+    return pages + _named_sections() + _long_gaps()

@@ -1,7 +1,7 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
 A page is a sequence of tags and text runs.  Each word of a run scores between
--1 and 1, from the run's enclosing elements: each tag name and each word of a
+-1 and 1, from the run's enclosing elements: each tag name and each name of a
 class, id or role makes the run boilerplate with a chance of its own, and a
 word's score is twice the chance that none does, less one.  Each tag costs a
 little, the more the oftener it stands outside main text.  Both weights are learned
@@ -11,12 +11,19 @@ sum, in which a gap costs the more the longer it is, without a bound; the text
 is that of the stretch's runs with a positive score, so an advert inside an
 article is left out, and cuts the article in two only if it outweighs a part.
 
+Names are taken whole, by their letters ("side-bar" and "sidebar-2" are sidebar,
+"no-sidebar" is not).  Those of html, body, main, article and of any element
+that holds most of the page's words say nothing; an id inside an article or main
+element is a name of its own kind, since it also is what a section is about.
+
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by line feeds in page order, empty ones
 left out.  Scripts, styles, comments and other unseen elements have no text.
 
 Defined results: null, empty and textless pages give an empty text; unclosed
-and stray tags are taken as browsers do, near enough; a null url stays null.
+and stray tags are taken as browsers do, near enough; a null url stays null.  A
+block that holds most of a page's words is text whatever its name, comments too,
+unless its tags say otherwise.
 """
 
 from __future__ import annotations
@@ -40,19 +47,23 @@ GAP = 0.25  # where no labelled page tells
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMING = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-PART = re.compile(r"[a-z]+")
+NO_LETTER = re.compile(r"[\W\d_]+")
 
 #: fixed values: elements of HTML by what they mean for text
-HIDDEN = frozenset("head script style noscript template title textarea iframe svg math object select option button canvas audio video".split())
+HIDDEN = frozenset("head script style noscript template title textarea iframe svg annotation annotation-xml object select option button canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
           "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
+WHOLE = frozenset("html body main article".split())  # what they hold is not told by their names
 SCOPE = frozenset("ul ol table td th tr div section article main nav aside header footer body html blockquote form dl".split())
 
 
+UNMARKED = {ord(MARK): None, ord(UNMARK): None}
+
+
 @dataclass
 class Run:
     """Text in one place of a page; ``tag`` instead of text for a tag."""
@@ -63,14 +74,34 @@ class Run:
     features: frozenset[str] = field(default_factory=frozenset)
 
 
-def _features(tag: str, rest: str, around: frozenset[str]) -> frozenset[str]:
+@dataclass
+class Element:
+    """An open or closed element of a page."""
+
+    tag: str
+    rest: str
+    around: Element | None
+    words: int = 0
+    features: frozenset[str] = frozenset()
+
+
+def _names(rest: str, kept: bool) -> Iterator[str]:
+    """Whole names by their letters; an id where names are ``kept`` apart is one of its own kind."""
+    for m in NAMING.finditer(rest):
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            if name := NO_LETTER.sub("", name):
+                yield f"#{name}" if kept and m[1].lower() == "id" else name
+
+
+def _features(element: Element, around: frozenset[str], named: bool) -> frozenset[str]:
+    tag = element.tag
     own = tag in ("header", "footer") and "<article>" in around  # of the article, not of the page
     if own:
         return frozenset([f"<article {tag}>"])
     place = next((p for p in ("p", "li") if f"<{p}>" in around), "") if tag == "a" else ""
     found = {f"<{place} a>" if place else f"<{tag}>"}  # links of a menu and of running text differ
-    for m in NAMING.finditer(rest):
-        found.update(PART.findall((m[2] or m[3] or m[4] or "").lower()))
+    if named and tag not in WHOLE:
+        found.update(_names(element.rest, "<article>" in around or "<main>" in around))
     return frozenset(found)
 
 
@@ -79,27 +110,45 @@ def _raw_end(page: str, tag: str, at: int) -> int:
     return m.start() if m else len(page)
 
 
-def runs(page: str) -> Iterator[Run]:
+def runs(page: str) -> list[Run]:
     """Tags and text runs in page order."""
-    stack: list[tuple[str, frozenset[str]]] = []
+    elements: list[Element] = []
+    found: list[tuple[Run, Element | None]] = []
+    for run, element in _placed(page, elements):
+        found.append((run, element))
+        if element is not None and run.text:
+            element.words += len(run.text.translate(UNMARKED).split())
+    for e in reversed(elements):  # an element comes after those around it
+        if e.around is not None:
+            e.around.words += e.words
+    total = sum(e.words for e in elements if e.around is None) + sum(len(r.text.translate(UNMARKED).split()) for r, e in found if e is None and r.text)
+    for e in elements:
+        around = e.around.features if e.around is not None else frozenset()
+        e.features = around | _features(e, around, 2 * e.words <= total)
+    for run, element in found:
+        if element is not None:
+            run.features = element.features
+    return [run for run, _ in found]
+
+
+def _placed(page: str, elements: list[Element]) -> Iterator[tuple[Run, Element | None]]:
+    """Tags and text runs, with the element that holds a text; adds to the elements."""
+    stack: list[Element] = []
     block, at, n = 0, 0, len(page)
-    features: frozenset[str] = frozenset()
 
     def shut(names: frozenset[str], scope: frozenset[str]) -> None:
-        nonlocal features
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                features = stack[k - 1][1] if k else frozenset()
+            if stack[k].tag in names:
                 del stack[k:]
                 return
-            if stack[k][0] in scope:
+            if stack[k].tag in scope:
                 return
 
     while at < n:
         m = TOKEN.search(page, at)
         if m is None or m.start() > at:
             end = m.start() if m else n
-            yield Run(text=html.unescape(page[at:end]), block=block, features=features)
+            yield Run(text=html.unescape(page[at:end]), block=block), stack[-1] if stack else None
         if m is None:
             return
         at = m.end()
@@ -107,7 +156,7 @@ def runs(page: str) -> Iterator[Run]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in VOID or not any(t == tag for t, _ in stack):
+            if tag in VOID or not any(e.tag == tag for e in stack):
                 if tag in BLOCK:
                     block += 1
                 continue
@@ -117,17 +166,17 @@ def runs(page: str) -> Iterator[Run]:
                 at = at if m[3].endswith("/") else _raw_end(page, tag, at)
             continue
         elif tag == "br":
-            yield Run(text=" ", block=block, features=features)
+            yield Run(text=" ", block=block), stack[-1] if stack else None
         elif tag not in VOID:
             if tag in CLOSES:
                 shut(CLOSES[tag], SCOPE - CLOSES[tag])
             elif tag in BLOCK:  # a block ends an open paragraph
                 shut(CLOSES["p"], SCOPE)
-            features = features | _features(tag, m[3], features)
-            stack.append((tag, features))
+            stack.append(Element(tag, m[3], stack[-1] if stack else None))
+            elements.append(stack[-1])
         if tag in BLOCK:
             block += 1
-        yield Run(tag=tag)
+        yield Run(tag=tag), None
 
 
 @dataclass(frozen=True)

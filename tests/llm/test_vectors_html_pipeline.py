@@ -182,6 +182,31 @@ def test_a_block_within_the_article_does_not_cut_it(extractor):
     assert extractor.extract(page).split() == ["word"] * 80
 
 
+@pytest.mark.parametrize("around", ['<body class="page has-sidebar sidebar">{}</body>', '<html class="no-sidebar"><body class="menu">{}</body></html>',
+                                    '<div class="menu sidebar">{}</div>', '<main id="search">{}</main>', '<div class="site no-sidebar">{}</div>'])
+def test_names_around_a_page_do_not_empty_it(extractor, around):
+    page = around.format(f'<nav>{"menu " * 20}</nav><article class="more"><p>{"word " * 60}</p></article><div class="sidebar">other text</div>')
+    assert extractor.extract(page).split() == ["word"] * 60
+
+
+@pytest.mark.parametrize("names", ['id="discussion"', 'class="read-more-content"', 'id="legal-history"', 'class="side-by-side"', 'id="legal"', 'class="form-factor"'])
+def test_sections_of_an_article_keep_their_text(extractor, names):
+    for tag in ("section", "div"):
+        page = f'<article><p>{"word " * 30}</p><{tag} {names}><h2>word</h2><p>{"word " * 20}</p></{tag}><div id="sidebar">other</div><p>{"word " * 9}</p></article>'
+        assert extractor.extract(page).split() == ["word"] * 60
+
+
+def test_names_are_taken_by_their_letters(extractor):
+    for names in ('class="side-bar"', 'class="col sidebar-2"', 'id="cookieBanner"', "class=related_posts", 'id="sidebar"'):
+        for start in ("", "<article>"):
+            assert "other" not in extractor.extract(f'{start}<p>{"word " * 60}</p><div {names}>other text</div><p>{"word " * 60}</p>')
+
+
+def test_formulas_are_text(extractor):
+    page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='application/x-tex'>x=2</annotation></math> holds</p></article>"
+    assert extractor.extract(page) == "so x=2 holds"
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>some words here</p>", 3), (2, None, None, 4), (None, "u", "", 5), (1, "u", "<p>some words here</p>", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
