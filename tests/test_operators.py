@@ -562,3 +562,24 @@ def test_permutation_importance_and_glm_pvalues(spark):
     assert imp["const"] == 0.0 and imp["signal"] > 0.1 and imp["signal"] > imp["noise"]
     p = glm_pvalues(df, "features", "y", [0, 2])
     assert p[0] < 1e-6 and 0.0 <= p[2] <= 1.0
+
+
+def test_fits_of_the_learning_queries_are_spread(spark, monkeypatch):
+    from aftershock.operators.learn import _cached
+    from aftershock.plans import learn
+    rows = spark.range(400).select("id", F.col("id").alias("doc_id"))
+    spread = []
+
+    def fits(df, *args, partitions=None, **kw):
+        spread.append(_cached(rows, "doc_id", partitions).where("id % 2 = 0").rdd.glom().map(len).collect())
+        return {"sizes": [(2, 0.5)], "best_size": 2} if "names" not in kw and len(args) > 4 else [("a", 0, 1.0, 0)]
+
+    monkeypatch.setattr(learn, "_prepared", lambda *a: (rows, rows, ["a"]))
+    monkeypatch.setattr(learn, "_balanced", lambda train: train)
+    monkeypatch.setattr(learn, "rfe", fits)
+    monkeypatch.setattr(learn, "multisplit_selection", fits)
+    for query in (learn.rf_rfe, learn.gbt_rfe, learn.lasso_multisplit):
+        query(spark, "").count()
+    for parts in spread:
+        assert len(parts) >= 64 and sum(n > 0 for n in parts) > 32
+    assert len(spread) == 3
