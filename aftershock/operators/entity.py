@@ -13,8 +13,12 @@
   q-gram count lemma every pair scoring >= threshold shares a prefix gram, so
   matches at or above the threshold are exactly those of an exhaustive search,
   while no all-pairs product of a common gram is ever formed.  A name without
-  such a match gets the best of the directory names that hold one of its
-  ``REVIEW_GRAMS`` rarest q-grams, for review.
+  such a match gets the best name of the whole directory, for review: the best
+  of those that hold one of its ``REVIEW_GRAMS`` rarest q-grams sets a mark, and
+  every directory name that could reach it is scored too.  Such a name's bound
+  is that of the shared letters (blocks) or the lengths (Levenshtein); below the
+  threshold a pair need not share a q-gram, so no prefix would be exact.  A name
+  that scores 0 with all of the directory stays unmatched.
 * overrides: the last override per name replaces a mapped row (score 999,
   ``manual_override``, ``manual_ok``) or is appended when the name is new.
 """
@@ -36,6 +40,7 @@ MAPPING_COLUMNS = ["orbis_company_name", "normalized_orbis_name", "matched_sec_n
                    "match_score", "match_method", "review_flag"]
 Q = 3
 REVIEW_GRAMS = 8
+FIRM_BLOCK, NAME_BLOCK = 64, 2048  # names in a block of the search below the threshold
 
 
 def prepare_directory(directory: DataFrame, name: str = "sec_company_name", pos: str = "pos") -> DataFrame:
@@ -124,6 +129,67 @@ def _best(scored: DataFrame) -> DataFrame:
         .select("fn", F.col("b.shown").alias("match_score"), F.col("b.dn").alias("dn"))
 
 
+def _letters(names, alphabet: dict[str, int]):
+    import numpy as np
+    counts = np.zeros((len(names), len(alphabet) + 1), dtype=np.int32)
+    for i, name in enumerate(names):
+        for c in name:
+            if c in alphabet:
+                counts[i, alphabet[c]] += 1
+    return counts
+
+
+def _reach_marks(batches):
+    """Per firm name of a block, the best directory name of another block whose
+    score reaches the firm's mark.  Names are scored by falling bound, twice the
+    letters shared over both lengths, until no bound reaches the best so far."""
+    import numpy as np
+    import pandas as pd
+    for pdf in batches:
+        rows = []
+        for firms, names in zip(pdf["firms"], pdf["names"]):
+            alphabet = {c: k for k, c in enumerate(sorted({c for f in firms for c in f["fn"]}))}
+            held, size = _letters(names, alphabet), np.array([len(n) for n in names])
+            for f in firms:
+                fn, best = f["fn"], (f["mark"], "")
+                shared = np.minimum(held, _letters([fn], alphabet)).sum(axis=1)
+                bound = 2.0 * shared / np.maximum(size + len(fn), 1)
+                able = np.flatnonzero((bound >= best[0]) & (shared > 0))
+                search = SequenceMatcher(None, "", fn)
+                for i in able[np.argsort(-bound[able], kind="stable")]:
+                    if bound[i] < best[0]:
+                        break
+                    search.set_seq1(names[i])
+                    best = max(best, (search.ratio(), names[i]))
+                if best[1]:
+                    rows.append((fn, best[1], best[0], int(round(100 * SequenceMatcher(None, fn, best[1]).ratio()))))
+        yield pd.DataFrame(rows, columns=["fn", "dn", "score", "shown"])
+
+
+def _blocks(names: DataFrame, value, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows dealt by the hash of their first column to blocks of about ``size``."""
+    n = -(-names.count() // size)
+    block = F.pmod(F.xxhash64(names.columns[0]), F.lit(max(n, 1)))
+    return names.groupBy(block.alias("_b")).agg(F.collect_list(value).alias(name)).drop("_b"), n
+
+
+def best_of_all(fnames: DataFrame, dnames: DataFrame, near: DataFrame, method: str) -> DataFrame:
+    """The best of all directory names for each firm name, by an exact search
+    above the mark that the scored pairs ``near`` set."""
+    marks = near.groupBy("fn").agg(F.max("score").alias("mark"))
+    marked = fnames.join(marks, "fn", "left").select("fn", F.coalesce("mark", F.lit(0.0)).alias("mark"))
+    marked = materialize(marked, "marks")
+    if method != "blocks":
+        la, lb = F.length("fn"), F.length("dn")
+        reach = F.bround(F.lit(100.0) * F.least(la, lb) / F.greatest(la, lb), 0) >= F.col("mark")
+        return _best(_scored(marked.crossJoin(dnames).where(reach).select("fn", "dn"), method).where("score > 0"))
+    ship_package(fnames.sparkSession)
+    firms, nf = _blocks(marked, F.struct("fn", "mark"), FIRM_BLOCK, "firms")
+    names, nd = _blocks(dnames.select("dn"), F.col("dn"), NAME_BLOCK, "names")
+    pairs = firms.repartition(max(min(nf, 8), nf // 8, 1)).crossJoin(names.repartition(max(-(-nd // 8), 1)))
+    return _best(pairs.mapInPandas(_reach_marks, "fn string, dn string, score double, shown int"))
+
+
 def fuzzy_matches(firms: DataFrame, directory: DataFrame, threshold: int = FUZZY_THRESHOLD,
                   suggest_below_threshold: bool = True, method: str = "blocks") -> DataFrame:
     """Best directory name per firm name (firms without exact hit only)."""
@@ -144,7 +210,7 @@ def fuzzy_matches(firms: DataFrame, directory: DataFrame, threshold: int = FUZZY
         few = _grams(rest, "fn", "fn").join(often, "gram").withColumn("_r", F.row_number().over(rarest)) \
             .where(F.col("_r") <= REVIEW_GRAMS).select("fn", "gram")
         near = few.join(held.hint("merge"), "gram").select("fn", "dn").distinct()
-        best = best.unionByName(_best(_scored(near, method).where(F.col("shown") < threshold)))
+        best = best.unionByName(best_of_all(rest, dnames, _scored(near, method), method))
     drow = _first_per_norm(directory).withColumnRenamed("norm", "dn")
     j = (firms.join(best, firms.normalized_orbis_name == best.fn, "left").join(drow, "dn", "left"))
     found = F.col("match_score").isNotNull()

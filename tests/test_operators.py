@@ -110,6 +110,43 @@ def test_fuzzy_equals_exhaustive_search(spark, method):
     assert checked > 20
 
 
+@pytest.mark.parametrize("method", ["blocks", "levenshtein"])
+def test_review_rows_are_the_best_of_the_whole_directory(spark, monkeypatch, method):
+    from difflib import SequenceMatcher, get_close_matches
+    from aftershock.operators import entity
+    monkeypatch.setattr(entity, "FIRM_BLOCK", 16)
+    monkeypatch.setattr(entity, "NAME_BLOCK", 50)
+    rnd = random.Random(11)
+    words = ["RED", "BLUE", "GEAR", "WIDGET", "ANVIL", "HOT", "COLD", "RING", "PLATE", "STEAM", "NORTHERN"]
+    targets = sorted({" ".join(rnd.sample(words, 3)) for _ in range(150)})
+    firms = {"XY", "A", "ZZQ", "AXNXVXIXL", "1 2 3"}  # that share no 3-gram
+    for name in rnd.sample(targets, 60):
+        letters = list(name)
+        for i in rnd.sample(range(len(letters)), len(letters) // rnd.choice([2, 3, 4])):
+            letters[i] = rnd.choice("XYZQ")
+        firms.add(normalize_py(spark, "".join(letters)))
+    d = _dir(spark, [(n, f"t{i}", i, i) for i, n in enumerate(targets)])
+    got = {r.normalized_orbis_name: r for r in match_names(_firms(spark, sorted(firms)), d, method=method).collect()}
+    if method == "levenshtein":
+        pairs = spark.createDataFrame([(f, t) for f in firms for t in targets], "fn string, dn string")
+        best = {r.fn: (r.match_score, r.dn) for r in entity._best(entity._scored(pairs, method)).collect()}
+    checked = 0
+    for fn in firms:
+        if method == "blocks":
+            dn = get_close_matches(fn, targets, n=1, cutoff=0.0)[0]
+            score, ratio = round(100 * SequenceMatcher(None, fn, dn).ratio()), SequenceMatcher(None, dn, fn).ratio()
+        else:
+            score, dn = best[fn]
+            ratio = score
+        if ratio == 0:
+            assert got[fn].review_flag == "unmatched" and got[fn].match_score is None
+        else:
+            assert (got[fn].match_score, got[fn].matched_sec_name) == (score, dn)
+            assert got[fn].review_flag == ("auto_ok" if score >= 92 else "review")
+            checked += score < 92
+    assert checked > 40
+
+
 _NORMAL: dict = {}
 
 
