@@ -620,3 +620,26 @@ def test_fits_of_the_learning_queries_are_spread(spark, monkeypatch):
     for parts in spread:
         assert len(parts) >= 64 and sum(n > 0 for n in parts) > 32
     assert len(spread) == 3
+
+
+def test_logit_predicts_on_the_selected_columns(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    from aftershock.operators.learn import logit_predict
+    from aftershock.plans import learn
+    rnd = random.Random(5)
+    rows = [(i, Vectors.dense([rnd.gauss(0, 1), rnd.gauss(0, 1)])) for i in range(200)]
+    df = spark.createDataFrame([(i, x, int(x[0] + rnd.gauss(0, 1) > 0.5)) for i, x in rows], ["doc_id", "features", "y"])
+    share = df.agg(F.avg("y")).first()[0]
+    assert {r.score for r in logit_predict(df, df, "features", "y", []).collect()} == {share}
+    one = [r.score for r in logit_predict(df, df, "features", "y", [0]).orderBy("doc_id").collect()]
+    order = sorted(range(200), key=lambda i: rows[i][1][0])
+    assert all(one[a] < one[b] for a, b in zip(order, order[1:]))  # the other column has no part in it
+
+    table = spark.createDataFrame([("b", 1), ("a", 0)], "feature string, Selected int")
+    seen = []
+    monkeypatch.setattr(learn, "_prepared", lambda *a: (df, df, ["a", "b"]))
+    monkeypatch.setattr(learn, "_balanced", lambda train: train)
+    monkeypatch.setattr(learn, "_selection", lambda *a: table)
+    monkeypatch.setattr(learn, "_logit", lambda train, test, f, y, cols: seen.append(cols) or test.withColumn("score", F.lit(0.5)))
+    learn.logit_predict(spark, "").count()
+    assert seen == [[1]]
