@@ -45,18 +45,22 @@ def columns_matching(df: DataFrame, prefix: str, exclude_prefix: str | None = No
 
 def pivot_first(df: DataFrame, keys: Sequence[str], pivot_col: str, pivot_values: Sequence,
                 value_cols: Sequence[str], name: str = "{value}_{pivot}",
-                order: str = "pivot_major", drop_null_keys: bool = True) -> DataFrame:
+                order: str = "pivot_major", drop_null_keys: bool = True, whole: bool = False) -> DataFrame:
     """Long -> wide with ``first(ignorenulls)`` per cell.
 
     Rows whose pivot value is null are dropped; rows with a null key vanish
     too unless ``drop_null_keys=False`` (pandas vs tidyr semantics, T11).  ``order``: 'pivot_major' interleaves the value
     columns per pivot value (R7), 'value_major' groups by value column (R8);
     the pivot value list is explicit, so its order (asc/desc) is the caller's.
+    Rows of a value that is not in the list are left out, or with ``whole`` an error.
     """
     d = df.where(F.col(pivot_col).isNotNull())
     if drop_null_keys:  # pandas pivot semantics (T11); tidyr keeps NA ids
         for k in keys:
             d = d.where(F.col(k).isNotNull())
+    if whole:
+        told = F.concat(F.lit(f"{pivot_col} not in the pivot list: "), F.col(pivot_col).cast("string"))
+        d = d.withColumn(pivot_col, F.when(F.col(pivot_col).isin(list(pivot_values)), F.col(pivot_col)).otherwise(F.raise_error(told)))
     aggs = [F.first(F.col(v), ignorenulls=True).alias(v) for v in value_cols]
     wide = d.groupBy(*keys).pivot(pivot_col, list(pivot_values)).agg(*aggs)
     single = len(value_cols) == 1

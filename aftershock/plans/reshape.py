@@ -22,7 +22,7 @@ def panel_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``spend_1995 ... orders_2001`` columns (the firm sheet shape)."""
     return pivot_first(panel_long(spark, sf_dir), ["c_custkey"], "year", YEARS, METRICS,
-                       name="{value}_{pivot}", order="value_major")
+                       name="{value}_{pivot}", order="value_major", whole=True)
 
 
 def melt_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,13 +34,13 @@ def melt_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pivot_panel_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``spend(1995), orders(1995), spend(1996), ...`` years ascending."""
     return pivot_first(panel_long(spark, sf_dir), ["c_custkey"], "year", YEARS, METRICS,
-                       name="{value}({pivot})", order="pivot_major")
+                       name="{value}({pivot})", order="pivot_major", whole=True)
 
 
 def pivot_wide_years_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variable-major, years descending: ``spend_2001 ... orders_1995``."""
     return pivot_first(panel_long(spark, sf_dir), ["c_custkey"], "year", YEARS[::-1], METRICS,
-                       name="{value}_{pivot}", order="value_major")
+                       name="{value}_{pivot}", order="value_major", whole=True)
 
 
 def explode_multivalue(spark: SparkSession, sf_dir: str) -> DataFrame:

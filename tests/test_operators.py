@@ -643,3 +643,15 @@ def test_logit_predicts_on_the_selected_columns(spark, monkeypatch):
     monkeypatch.setattr(learn, "_logit", lambda train, test, f, y, cols: seen.append(cols) or test.withColumn("score", F.lit(0.5)))
     learn.logit_predict(spark, "").count()
     assert seen == [[1]]
+
+
+def test_years_outside_the_pivot_list_are_an_error(spark, monkeypatch):
+    from aftershock.plans import reshape
+    long = spark.createDataFrame([(1, 1995, 2.0, 1.0), (1, 2002, 3.0, 1.0)], "c_custkey int, year int, spend double, orders double")
+    monkeypatch.setattr(reshape, "panel_long", lambda *a: long.where("year < 2002"))
+    queries = (reshape.panel_wide, reshape.pivot_panel_first, reshape.pivot_wide_years_desc)
+    assert all(q(spark, "").collect()[0]["c_custkey"] == 1 for q in queries)
+    monkeypatch.setattr(reshape, "panel_long", lambda *a: long)
+    for q in queries:
+        with pytest.raises(Exception, match="not in the pivot list: 2002"):
+            q(spark, "").collect()
