@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_text, langid, mixing, neardup, packing, quality, tokens, topk, toxicity
+from . import ann, decontam, html_text, langid, mixing, neardup, packing, quality, runs, spelling, tokens, topk, toxicity
 from ..session import materialize
 from .common import read_table
 
@@ -51,9 +51,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_table(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_table(read_table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_table(read_table(spark, sf_dir, "documents"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontamination_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_html_text, op4_mixing, op5_toxicity, op6_near_dedup, op7_token_counts, op8_exact_top_k, op9_ann, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_html_text, op4_mixing, op5_toxicity, op6_near_dedup, op7_token_counts, op8_exact_top_k, op9_ann, op10_packing,
+                                      op11_spelling, op12_runs, op13_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op8_exact_top_k": topk.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op8_exact_top_k": topk.ORACLE_SQL, "op11_spelling": spelling.ORACLE_SQL,
+            "op13_decontaminate": decontam.ORACLE_SQL}
