@@ -11,7 +11,7 @@
    word's sorted letters in it.  Near words agree in at least one signature.
    Letters are dealt to the subparts so that each holds about as many letters
    of the counted words.
-3. Words meet in an equi-join on the signature.  Since one edit leaves the
+3. Words meet in an equi-join on a hash of the signature.  Since one edit leaves the
    first or the last half of the shorter word as it was, the join also asks for
    the half: words of the same letters in other orders, of which there may be
    any number, do not meet.  What meets is verified by edit distance.
@@ -122,11 +122,13 @@ def near_words(words: DataFrame, letters: list[list[str]]) -> DataFrame:
                        for less in (0, 1)
                        for side, half in (("first", f"left(word, int((l - {less}) / 2))"),
                                           ("last", f"right(word, l - {less} - int((l - {less}) / 2))"))))
-    keyed = keyed.select("word", "l", "s", F.explode(halves).alias("h")).select("word", "l", "s", "h.m", "h.side", "h.half")
-    a = keyed.where("l = m").select(F.col("word").alias("a"), "s", "m", "side", "half")
-    b = keyed.select(F.col("word").alias("b"), "l", "s", "m", "side", "half")
-    met = a.join(b.hint("merge"), ["s", "m", "side", "half"])
-    met = met.where(((F.col("l") > F.col("m")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
+    keyed = keyed.select("word", "l", "s", F.explode(halves).alias("h"))
+    # words meet by a hash of signature and half: short keys to shuffle and sort; what it throws together is verified
+    keyed = keyed.select("word", "l", "h.m", F.xxhash64("s", "h.m", "h.side", "h.half").alias("key"))
+    a = keyed.where("l = m").select(F.col("word").alias("a"), "key")
+    b = keyed.select(F.col("word").alias("b"), (F.col("l") > F.col("m")).alias("longer"), "key")
+    met = a.join(b.hint("merge"), "key")
+    met = met.where((F.col("longer") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
     pairs = materialize(met.select("a", "b").distinct(), "near-words")
     return pairs.union(pairs.select("b", "a"))
 
