@@ -19,6 +19,7 @@ _MODULES = [
     "aftershock.plans.learn",
     "aftershock.plans.sectors",
     "aftershock.plans.firms",
+    "aftershock.plans.compare",
 ]
 
 

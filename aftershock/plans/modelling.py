@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from aftershock.functions.constants import (QUANTILE_LEVELS, SEED, STRESS_BASE, STRESS_CLAMP,
                                             STRESS_INTERACTIONS, STRESS_TAILS, STRESS_WEIGHTS)
 from aftershock.operators.metrics import pr_auc as _pr, roc_auc as _roc, roc_points as _points
-from aftershock.operators.selection import aggregate_pvalues, rank_features
+from aftershock.operators.selection import aggregate_pvalues, compare_features, rank_features
 from aftershock.operators.split import chrono_group_split as _chrono, stratified_split as _strat
 from aftershock.operators.stress import linear_score as _lin, sample_groups as _sample, tail_overwrite as _tail
 from aftershock.operators.stress import category_ordinal, sample_rows as _sample_rows, zscores
@@ -116,7 +116,7 @@ def _importance_tables(spark, sf_dir):
     ms = ms.withColumn("MultiSplit_Selected", ((F.col("VIM") > 0.75) & (F.col("pValue") < 0.05)).cast("int"))
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rf = (c.join(n, c.c_nationkey == n.n_nationkey).where(F.col("n_nationkey") < 15)
+    rf = (c.join(n, c.c_nationkey == n.n_nationkey)
           .groupBy(F.col("n_name").alias("Feature")).agg((F.avg(F.abs("c_acctbal")) / 1000).alias("RF_SHAP")))
     xgb = c.groupBy(F.col("c_mktsegment").alias("Feature")).agg(
         (F.avg(F.abs(F.col("c_acctbal") - 4500)) / 1000).alias("XGB_SHAP"))
@@ -130,12 +130,8 @@ def feature_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = rank_features(ms, [F.col("VIM").desc(), F.col("pValue").asc(), F.col("Feature")], "MultiSplit_Rank")
     rf = rank_features(rf, [F.col("RF_SHAP").desc(), F.col("Feature")], "RF_SHAP_Rank")
     xgb = rank_features(xgb, [F.col("XGB_SHAP").desc(), F.col("Feature")], "XGB_SHAP_Rank")
-    names = ms.select("Feature").unionByName(rf.select("Feature")).unionByName(xgb.select("Feature")).distinct()
-    j = names.join(ms, "Feature", "left").join(rf, "Feature", "left").join(xgb, "Feature", "left")
-    j = j.withColumn("MultiSplit_Selected", F.coalesce("MultiSplit_Selected", F.lit(0)))
     r = {c: F.round(c, 6) for c in ["VIM", "pValue", "RF_SHAP", "XGB_SHAP"]}
-    return j.withColumns(r).select("Feature", "VIM", "pValue", "MultiSplit_Rank", "MultiSplit_Selected",
-                                   "RF_SHAP", "RF_SHAP_Rank", "XGB_SHAP", "XGB_SHAP_Rank")
+    return compare_features(ms, rf, xgb).withColumns(r)
 
 
 QUERIES = {
@@ -248,7 +244,7 @@ ms AS (SELECT v.feature AS Feature, v.VIM, pa.p_agg AS pValue,
        FROM vim v JOIN pa ON pa.feature = v.feature),
 rf AS (SELECT Feature, RF_SHAP, row_number() OVER (ORDER BY RF_SHAP DESC, Feature) AS RF_SHAP_Rank FROM
        (SELECT n.n_name AS Feature, avg(abs(c.c_acctbal)) / 1000 AS RF_SHAP FROM customer c
-        JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_nationkey < 15 GROUP BY 1) a),
+        JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1) a),
 xg AS (SELECT Feature, XGB_SHAP, row_number() OVER (ORDER BY XGB_SHAP DESC, Feature) AS XGB_SHAP_Rank FROM
        (SELECT c_mktsegment AS Feature, avg(abs(c_acctbal - 4500)) / 1000 AS XGB_SHAP FROM customer GROUP BY 1) b),
 names AS (SELECT Feature FROM ms UNION SELECT Feature FROM rf UNION SELECT Feature FROM xg)
