@@ -43,7 +43,16 @@ def columns_matching(df: DataFrame, prefix: str, exclude_prefix: str | None = No
     return out
 
 
-def pivot_first(df: DataFrame, keys: Sequence[str], pivot_col: str, pivot_values: Sequence,
+def distinct_values(df: DataFrame, column: str, descending: bool = False, at_most: int = 10_000) -> list:
+    """The column's distinct values in order, nulls left out.  They become
+    column names, so more than ``at_most`` of them is an error."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(at_most + 1).collect()
+    if len(found) > at_most:
+        raise ValueError(f"{column} has more than {at_most} distinct values")
+    return sorted((r[0] for r in found), reverse=descending)
+
+
+def pivot_first(df: DataFrame, keys: Sequence[str], pivot_col: str, pivot_values: Sequence | None,
                 value_cols: Sequence[str], name: str = "{value}_{pivot}",
                 order: str = "pivot_major", drop_null_keys: bool = True, whole: bool = False) -> DataFrame:
     """Long -> wide with ``first(ignorenulls)`` per cell.
@@ -51,9 +60,12 @@ def pivot_first(df: DataFrame, keys: Sequence[str], pivot_col: str, pivot_values
     Rows whose pivot value is null are dropped; rows with a null key vanish
     too unless ``drop_null_keys=False`` (pandas vs tidyr semantics, T11).  ``order``: 'pivot_major' interleaves the value
     columns per pivot value (R7), 'value_major' groups by value column (R8);
-    the pivot value list is explicit, so its order (asc/desc) is the caller's.
+    an explicit pivot value list has the caller's order; without one (None) it
+    is the column's distinct values, ascending (A18).
     Rows of a value that is not in the list are left out, or with ``whole`` an error.
     """
+    if pivot_values is None:
+        pivot_values = distinct_values(df, pivot_col)
     d = df.where(F.col(pivot_col).isNotNull())
     if drop_null_keys:  # pandas pivot semantics (T11); tidyr keeps NA ids
         for k in keys:

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aftershock.functions.hashing import seeded_hash
 from aftershock.operators.ranking import ordinal
 
 
@@ -83,6 +84,6 @@ def category_ordinal(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """L4: a seeded sample of ``n`` rows: the n smallest ``xxhash64(key, seed)``
-    (a top-n; reproducible under any partitioning)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """L4: a seeded sample of ``n`` rows: those with the n smallest hashes of
+    key and seed (a top-n; reproducible under any partitioning)."""
+    return df.orderBy(seeded_hash(key, seed), F.col(key)).limit(n)

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aftershock.functions.hashing import seeded_hash_sql
 from aftershock.functions.constants import (QUANTILE_LEVELS, SEED, STRESS_BASE, STRESS_CLAMP,
                                             STRESS_INTERACTIONS, STRESS_TAILS, STRESS_WEIGHTS)
 from aftershock.operators.metrics import pr_auc as _pr, roc_auc as _roc, roc_points as _points
@@ -193,6 +194,13 @@ pa AS (SELECT feature, n_values, least(1.0, 4 * list_min(r)) AS p_agg,
               ({_LEVELS})[list_position(r, list_min(r))] AS d_min FROM ra)"""
 
 ORACLE = {
+    "stratified_split": f"""
+SELECT doc_id, quality,
+       CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {seeded_hash_sql("doc_id", SEED)}, doc_id)
+                 <= ceil(0.8 * count(*) OVER (PARTITION BY quality)) THEN 'train' ELSE 'test' END AS split
+FROM labels""",
+    "sample_rows": f"""
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY {seeded_hash_sql("o_orderkey", SEED)}, o_orderkey LIMIT 10""",
     "roc_auc": f"""WITH {_SC}
 SELECT round(CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(neg * (tp - pos + 0.5 * pos)) / (max(P) * max(N)) END, 6)
          AS roc_auc, CAST(coalesce(max(P), 0) AS BIGINT) AS n_pos, CAST(coalesce(max(N), 0) AS BIGINT) AS n_neg

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aftershock.operators.reshape import melt_pattern, pivot_first, separate_rows, unnest_parallel
+from aftershock.operators.reshape import distinct_values, melt_pattern, pivot_first, separate_rows, unnest_parallel
 from aftershock.sources.tables import table
 
 YEARS = list(range(1995, 2002))
@@ -37,6 +37,12 @@ def pivot_panel_first(spark: SparkSession, sf_dir: str) -> DataFrame:
                        name="{value}({pivot})", order="pivot_major", whole=True)
 
 
+def pivot_value_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years of the panel in descending order, as a pivot takes them."""
+    years = distinct_values(panel_long(spark, sf_dir), "year", descending=True)
+    return spark.createDataFrame([(y, k) for k, y in enumerate(years)], "year int, position int")
+
+
 def pivot_wide_years_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variable-major, years descending: ``spend_2001 ... orders_1995``."""
     return pivot_first(panel_long(spark, sf_dir), ["c_custkey"], "year", YEARS[::-1], METRICS,
@@ -59,6 +65,7 @@ def list_unnest_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "melt_panel": melt_panel,
+    "pivot_value_list": pivot_value_list,
     "pivot_panel_first": pivot_panel_first,
     "pivot_wide_years_desc": pivot_wide_years_desc,
     "explode_multivalue": explode_multivalue,
@@ -75,6 +82,9 @@ def _pivot_sql(cells: list[tuple[int, str]], fmt: str) -> str:
 
 
 ORACLE = {
+    "pivot_value_list": """
+SELECT y AS year, CAST(row_number() OVER (ORDER BY y DESC) - 1 AS INTEGER) AS position
+FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders WHERE o_orderdate IS NOT NULL)""",
     "melt_panel": f"""WITH {_AGG},
 keys AS (SELECT DISTINCT c_custkey FROM agg),
 yrs AS (SELECT unnest(range({YEARS[0]}, {YEARS[-1] + 1})) AS y),
