@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ from pyspark.sql.functions import pandas_udf
 from .common import hash_sample, is_remainder
 
 SAMPLE_DOCS = 400           # labelled texts a language's dictionary is made from, about
-SAMPLE_CHARS = 20_000       # longer texts are left out of that sample
+SAMPLE_PAIRS = 2_000        # distinct word pairs taken from one of these texts, by their hash
 DICTIONARY_BYTES = 128_000  # of each language
 CHUNK_WORDS = 2             # words in a dictionary entry
 BLOCK_BYTES = 3_000         # bytes encoded at once
@@ -99,20 +100,32 @@ def _compressors(dictionaries: tuple[bytes, ...], level: int) -> list[zstandard.
     return made
 
 
+def word_pairs(text: str, at_most: int = SAMPLE_PAIRS) -> dict[str, int]:
+    """Runs of ``CHUNK_WORDS`` words of the whole text and their counts; of more
+    than ``at_most`` distinct ones those of the smallest hashes."""
+    words = LETTERS.findall(text.lower())
+    own = Counter(" ".join(words[i:i + CHUNK_WORDS]) for i in range(0, len(words), CHUNK_WORDS))
+    if len(own) <= at_most:
+        return own
+    return {e: own[e] for e in sorted(own, key=lambda e: (zlib.crc32(e.encode()), e))[:at_most]}
+
+
 def build_model(samples: dict[str, list[str]]) -> LanguageModel:
-    """Dictionaries from sample texts by language.
+    """Dictionaries from sample texts by language."""
+    counts: dict[str, Counter[str]] = {}
+    for lang, texts in samples.items():
+        own = counts.setdefault(lang, Counter())
+        for text in texts:
+            own.update(word_pairs(text))
+    return model_of(counts)
+
+
+def model_of(counts: dict[str, Counter[str]]) -> LanguageModel:
+    """Dictionaries from the counts of word pairs by language.
 
     An entry is a run of ``CHUNK_WORDS`` words, kept for the language that has
     it most often: passages in a foreign language then teach nothing wrong.
     """
-    counts: dict[str, dict[str, int]] = {}
-    for lang, texts in samples.items():
-        own = counts.setdefault(lang, {})
-        for text in texts:
-            words = LETTERS.findall(text.lower())
-            for i in range(0, len(words), CHUNK_WORDS):
-                entry = " ".join(words[i:i + CHUNK_WORDS])
-                own[entry] = own.get(entry, 0) + 1
     most: dict[str, int] = {}
     for own in counts.values():
         for entry, n in own.items():
@@ -133,14 +146,24 @@ def build_model(samples: dict[str, list[str]]) -> LanguageModel:
     return LanguageModel(names, tuple(made[n] for n in names))
 
 
+def _pairs(batches):
+    for pdf in batches:
+        found = [word_pairs(t) for t in pdf["t"]]
+        yield pd.DataFrame({"l": pdf["l"], "pairs": [list(f) for f in found], "counts": [list(f.values()) for f in found]})
+
+
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Fit on a bounded hash sample of the labelled rows (``SAMPLE_DOCS`` a language)."""
+    """Fit on a bounded hash sample of the labelled rows (``SAMPLE_DOCS`` a
+    language, of any length), of each of which the executors send at most
+    ``SAMPLE_PAIRS`` word pairs."""
     rows = labelled.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    rows = rows.where(F.col("l").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
-    samples: dict[str, list[str]] = {}
-    for r in sorted(hash_sample(rows, F.col("l"), SAMPLE_DOCS, SEED, "i").collect(), key=lambda r: (r["l"], str(r["i"]), r["t"])):
-        samples.setdefault(r["l"], []).append(r["t"])
-    return build_model(samples)
+    rows = hash_sample(rows.where(F.col("l").isNotNull() & F.col("t").isNotNull()), F.col("l"), SAMPLE_DOCS, SEED, "i")
+    counts: dict[str, Counter[str]] = {}
+    for r in rows.select("l", "t").mapInPandas(_pairs, "l string, pairs array<string>, counts array<int>").collect():
+        own = counts.setdefault(r["l"], Counter())
+        for pair, n in zip(r["pairs"], r["counts"]):
+            own[pair] += n
+    return model_of(counts)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:

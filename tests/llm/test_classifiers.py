@@ -148,3 +148,15 @@ def test_filters_keep_columns(spark, corpus):
     clean = toxicity.keep_clean(good, labels)
     assert clean.columns == docs.columns and all(r["doc_id"] % 5 != 1 for r in clean.collect())
     assert set(quality.keep_good(awkward(spark), labels).columns) == set(awkward(spark).columns)
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rng = random.Random(12)
+    words = {k: ["".join(rng.choice(v) for _ in range(6)) for _ in range(300)] for k, v in (("aa", "abcde"), ("xx", "vwxyz"))}
+    rows = [(i, " ".join(rng.choice(words["aa"]) for _ in range(40)), "aa", "s") for i in range(40)]
+    rows += [(100 + i, " ".join(rng.choice(words["xx"]) for _ in range(9_000)), "xx", "s") for i in range(8)]
+    assert min(len(t) for _, t, g, _ in rows if g == "xx") > 60_000
+    got = langid.language_table(documents(spark, rows)).collect()
+    assert {(r["doc_id"] >= 100, r["lang_pred"]) for r in got} == {(False, "aa"), (True, "xx")}
+    pairs = langid.word_pairs(rows[-1][1])
+    assert len(pairs) == langid.SAMPLE_PAIRS and langid.word_pairs("b a b a") == {"b a": 2}
