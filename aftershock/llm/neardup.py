@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
@@ -317,3 +318,37 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     rows = docs.join(kept, "doc_id", "left_semi").withColumn("_row", first).where(F.col("_row") == 1).select(*docs.columns)
     return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+#: All pairs of sets that share a shingle, and all ids that links reach (ids are unique and not null).
+ORACLE_SQL = f"""
+WITH RECURSIVE
+d AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'),
+                                             '[^\\x20\\x09-\\x0D]+'), []) AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {SHINGLE}
+      THEN list_transform(range(1, len(w) - {SHINGLE} + 2), lambda i: array_to_string(w[i:i + {SHINGLE} - 1], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM d),
+c AS MATERIALIZED (
+  SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, words) AS class
+  FROM (SELECT doc_id, count(*) AS n, sha256(string_agg(shingle, chr(10) ORDER BY shingle)) AS words FROM s GROUP BY doc_id)),
+r AS MATERIALIZED (SELECT s.doc_id, n, shingle FROM s JOIN c ON s.doc_id = c.doc_id AND c.doc_id = c.class),
+l AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM r a JOIN r b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+                   AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(node, root) AS (
+  SELECT class, class FROM (SELECT DISTINCT class FROM c)
+  UNION
+  SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node WHERE reach.root < e.b),
+t AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(t.root, d.doc_id) AS component_id,
+       d.doc_id = coalesce(t.root, d.doc_id) AS kept
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON t.node = c.class
+"""

@@ -69,5 +69,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op8_exact_top_k": topk.ORACLE_SQL, "op11_spelling": spelling.ORACLE_SQL,
-            "op13_decontaminate": decontam.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op6_near_dedup": neardup.ORACLE_SQL, "op8_exact_top_k": topk.ORACLE_SQL,
+            "op11_spelling": spelling.ORACLE_SQL, "op13_decontaminate": decontam.ORACLE_SQL}

@@ -105,6 +105,22 @@ def test_components_equal_all_pairs(spark, seed, monkeypatch):
         assert r["n_shingles"] == len(brute_set(next(t for i, t, *_ in rows if i == r["doc_id"])))
 
 
+def test_near_dedup_equals_sql(spark):
+    rng = random.Random(9)
+    texts = [t for n, copies, edits in ((80, 8, 8), (30, 6, 3), (6, 5, 1), (4, 3, 1)) for t in _family(rng, n, copies, edits)]
+    texts += [None, "", " \t\n", "One Two\tthree\u00a0x FOUR five", "one two THREE\u00a0x four\nfive", "one two three", "c " * 30, "c " * 9]
+    # a chain: the far ends are linked only through the others
+    texts += [" ".join(f"c{k}" for k in range(4 * i, 4 * i + 60)) for i in range(12)]
+    rng.shuffle(texts)
+    docs = documents(spark, [(i * 3, t, "en", "a") for i, t in enumerate(texts)])
+    got = neardup.neardup_table(docs)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    found = con.execute(neardup.ORACLE_SQL)
+    assert [c[0] for c in found.description] == got.columns
+    assert sorted(found.fetchall()) == sorted(tuple(r) for r in got.collect())
+
+
 def test_awkward_documents(spark):
     docs = awkward(spark)
     got = neardup.neardup_table(docs).collect()
