@@ -622,6 +622,21 @@ def test_fits_of_the_learning_queries_are_spread(spark, monkeypatch):
     assert len(spread) == 3
 
 
+def test_prepared_rows_are_the_split_read_from_what_was_written(spark):
+    from aftershock.operators.split import stratified_split
+    from aftershock.plans import learn
+    frame = spark.createDataFrame(
+        [(i, int(i % 4 == 0), 0, "en" if i % 3 else "de", f"s{i % 5}", float(i), 1.0, float(i % 7), 0.1, 0.5) for i in range(100)],
+        "doc_id long, quality int, toxic int, lang string, source string, n_chars double, n_lines double, n_words double, "
+        "digit_share double, position double")
+    train, test, names = learn._prepared(spark, "", frame=frame)
+    want = {r.doc_id: r.split for r in stratified_split(frame, "doc_id", "quality", learn.SEED).collect()}
+    got = {r.doc_id: side for side, rows in (("train", train), ("test", test)) for r in rows.collect()}
+    assert got == want and train.columns == ["doc_id", "y", "features"]
+    assert train.where("y = 1").count() == 20 and len(train.first().features) == len(names)
+    assert all("/design-" in f for f in train.inputFiles())
+
+
 def test_logit_predicts_on_the_selected_columns(spark, monkeypatch):
     from pyspark.ml.linalg import Vectors
     from aftershock.operators.learn import logit_predict
