@@ -2,6 +2,9 @@
 
 import datetime as dt
 import random
+import time
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -11,6 +14,7 @@ from aftershock.functions.hashing import seeded_hash, seeded_hash_sql
 from aftershock.operators.compare import Settings
 from aftershock.operators.reshape import distinct_values, pivot_first
 from aftershock.plans import compare
+from aftershock.session import ship_package
 
 QUICK = Settings(splits=2, folds=3, penalties=10, trees=4, rounds=2, depth=2, sizes=(3,), rfe_folds=2, inner_folds=2, draws=2, partitions=4)
 
@@ -57,6 +61,21 @@ def test_storms_stay_whole_and_the_latest_are_test_rows(frame):
     assert len({r["count"] for r in synthetic}) == 1 or abs(synthetic[0]["count"] - synthetic[1]["count"]) < 150
 
 
+def test_cells_side_by_side_send_the_package_once():
+    class Context:
+        def __init__(self):
+            self.sent = []
+
+        def addPyFile(self, name):
+            self.sent.append(name)
+            time.sleep(0.2)   # Spark copies the file; a second one of its name is an error meanwhile
+
+    session = SimpleNamespace(sparkContext=Context())
+    with ThreadPoolExecutor(4) as side:
+        list(side.map(ship_package, [session] * 4))
+    assert len(session.sparkContext.sent) == 1
+
+
 def test_seeded_hash_equals_the_sql(spark):
     rows = [(i, t) for i, t in enumerate(["a", "", "é", None, "x" * 99])]
     got = spark.createDataFrame(rows, "i int, t string").select("i", seeded_hash("t", 7).alias("h"), seeded_hash("i", 8).alias("g")).collect()
