@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aftershock.functions.hashing import seeded_hash, seeded_hash_sql
+from aftershock.operators import compare as learners
 from aftershock.operators.compare import Settings
 from aftershock.operators.reshape import distinct_values, pivot_first
 from aftershock.plans import compare
@@ -61,6 +63,25 @@ def test_storms_stay_whole_and_the_latest_are_test_rows(frame):
     assert len({r["count"] for r in synthetic}) == 1 or abs(synthetic[0]["count"] - synthetic[1]["count"]) < 150
 
 
+def test_learners_run_side_by_side_on_one_split_of_a_cohort(frame, monkeypatch):
+    met, splits = threading.Barrier(3, timeout=60), []
+
+    def meeting(fn):
+        def run(*args):
+            met.wait()   # the selection and both eliminations of a cell
+            return fn(*args)
+        return run
+
+    for name in ("selection_table", "rfe"):
+        monkeypatch.setattr(learners, name, meeting(getattr(learners, name)))
+    whole = compare.chrono_group_split
+    monkeypatch.setattr(compare, "chrono_group_split", lambda *args: splits.append(args) or whole(*args))
+    out = compare.run_grid(frame, ["full"], ["rec_1d", "rec_7d"], QUICK, ["auc_pr_table"])
+    assert [(r["outcome"], r["Model"]) for r in out["auc_pr_table"].orderBy("outcome").collect() if r["Model"] == "logit"] == [
+        ("rec_1d", "logit"), ("rec_7d", "logit")]
+    assert len(splits) == 1 and out["auc_pr_table"].count() == 6
+
+
 def test_cells_side_by_side_send_the_package_once():
     class Context:
         def __init__(self):
